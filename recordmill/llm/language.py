@@ -11,6 +11,7 @@ learned language gives that language. Repeated rows get equal results; other col
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -192,13 +193,17 @@ def fit(samples: dict[str, list[bytes]], steps: int = 240, batch: int = 256, rat
 
 def train(docs: DataFrame, held_out: int = 2, per_language: int = 300, sample_bytes: int = 2048, max_languages: int = 64) -> Model:
     """Fit on rows with text and language whose crc32 fold (of 4) isn't ``held_out``."""
-    rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (fold("doc_id", 4) != held_out))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 4) != held_out)).select("doc_id", "lang", "text")
     # Only the fit reads bounded samples: the first bytes of the first texts by hash, for the languages with most rows.
     langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    samples = {}
-    for lang in sorted(langs):
-        some = rows.where(F.col("lang") == lang).select("doc_id", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, sample_bytes).alias("t"))
-        samples[lang] = [r["t"].encode() for r in some.orderBy("h", "doc_id", "t").limit(per_language).collect()]
+    if not langs:
+        return fit({})
+    first = [rows.where(F.col("lang") == x).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language) for x in sorted(langs)]
+    ids = reduce(DataFrame.unionByName, first).distinct()  # at most per_language * max_languages rows
+    some = rows.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(F.substring("text", 1, sample_bytes)).alias("t"))
+    samples: dict[str, list[bytes]] = {x: [] for x in langs}
+    for r in some.orderBy("lang", "doc_id").collect():
+        samples[r["lang"]].append((r["t"] or "").encode())
     return fit(samples)
 
 

@@ -1,6 +1,6 @@
 """The corpus queries: each applies one operator, with production parameters, to its whole table."""
 
-from . import language, media, secrets, token_counts, toxicity
+from . import language, media, near_dedup, secrets, token_counts, toxicity
 from .common import table
 
 
@@ -8,6 +8,10 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark, sf_dir):
     return token_counts.token_counts(spark, table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,5 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op5_token_counts, op6_language, op7_media_columns, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_near_dedup, op5_token_counts, op6_language, op7_media_columns, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
