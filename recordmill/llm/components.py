@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -36,34 +36,37 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return labels
 
 
-def classes(buckets: DataFrame, similar: Callable[[DataFrame], DataFrame], least: int, name: str) -> DataFrame:
+def classes(buckets: DataFrame, facts: DataFrame, possible: Callable[[str, str], Column], similar: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """(v, c) of the components that verified links between members of one bucket form.
 
-    ``buckets``: bucket, node, size. Two nodes can only be linked if they share a bucket and the smaller size is at
-    least ``least`` percent of the larger. ``similar`` takes distinct pairs (a, b) and returns those that are linked.
-    First each bucket's smallest node is compared with its other members, a star. Where members of a bucket then still
-    lie in several components, every member outside the bucket's largest component is compared with all members of
-    other components, so that no link that could join two components is missed.
+    ``buckets``: distinct (bucket, node). ``facts``: node and what ``possible`` needs; ``possible(x, y)`` is a necessary
+    condition of a link on the columns with these prefixes. ``similar`` takes distinct pairs (a, b) and returns the
+    linked ones. First each bucket's hub, the node that shares most buckets, is compared with its other members, a star:
+    a hub near the middle of its group links most of it. Where members of a bucket then still lie in several components,
+    every member outside the bucket's largest component is held against all members of other components, so that no
+    link that could join two components is missed; ``possible`` is asked inside that join, before any pair is formed.
     """
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * least
-    full = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select("bucket", "hub")
+    facts_of = lambda side: facts.select(F.col("node").alias(side), *[F.col(c).alias(side + c) for c in facts.columns if c != "node"])
+    full = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = staged(buckets.join(full, "bucket"), f"{name}-shared")
-    # A pair meets in many buckets and its links are symmetric, so it is compared once.
-    stars = staged(shared.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), f"{name}-stars")
-    linked = staged(similar(stars), f"{name}-linked")
+    score = shared.groupBy("node").agg(F.sum("n").alias("score"))
+    hubs = shared.join(score, "node").groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("hub"))
+    ends = (F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    # A pair meets in many buckets, and it is compared once.
+    stars = staged(shared.join(hubs, "bucket").where("hub <> node").select(*ends).distinct(), f"{name}-stars")
+    linked = staged(similar(stars.join(facts_of("a"), "a").join(facts_of("b"), "b").where(possible("a", "b")).select("a", "b")), f"{name}-linked")
     labels = components(linked, name)
-    named = shared.join(labels.withColumnRenamed("v", "node"), "node", "left").select("bucket", "node", "size", F.coalesce("c", "node").alias("c"))
+    named = shared.select("bucket", "node").join(labels.withColumnRenamed("v", "node"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     parts = named.groupBy("bucket", "c").agg(F.count("*").alias("k"))
     mixed = parts.groupBy("bucket").agg(F.count("*").alias("cs"), F.max_by("c", F.struct("k", "c")).alias("most")).where("cs > 1").select("bucket", "most")
-    open_ = staged(named.join(mixed, "bucket"), f"{name}-open")
-    x = open_.where("c <> most").select("bucket", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("c").alias("ca"))
-    y = open_.select("bucket", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("c").alias("cb"), (F.col("c") == F.col("most")).alias("main"))
+    open_ = staged(named.join(mixed, "bucket").join(facts, "node"), f"{name}-open")
+    own = [c for c in open_.columns if c not in ("bucket", "most")]
+    x = open_.where("c <> most").select("bucket", *[F.col(c).alias("a" if c == "node" else f"a{c}") for c in own])
+    y = open_.select("bucket", (F.col("c") == F.col("most")).alias("main"), *[F.col(c).alias("b" if c == "node" else f"b{c}") for c in own])
     # Two members outside the largest component would meet twice.
-    crossed = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))) & fits(F.col("sa"), F.col("sb")))
+    crossed = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ac") != F.col("bc")) & (F.col("main") | (F.col("a") < F.col("b"))) & possible("a", "b"))
     rest = staged(crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), f"{name}-rest")
     if rest.isEmpty():
         return labels
     more = staged(similar(rest), f"{name}-more")
-    if more.isEmpty():
-        return labels
-    return components(linked.unionByName(more), name)
+    return labels if more.isEmpty() else components(linked.unionByName(more), name)

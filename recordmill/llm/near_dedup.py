@@ -21,6 +21,8 @@ from .common import staged
 from .components import classes
 
 BINS, ROWS = 128, 4
+#: 64-bit words of a set's parity bitmap.
+MARKS = 16
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # fixed values: the splitmix64 finaliser
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Texts are hashed together up to so many bytes.
@@ -89,12 +91,18 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """A bitmap in which each element flips one bit: two sets differ in no fewer elements than their bitmaps in bits."""
+    odd = np.bincount((h & np.uint64(64 * MARKS - 1)).astype(np.int64), minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _sketch(size: int):
-    @F.pandas_udf("n long, node binary, bands array<long>")
+    @F.pandas_udf("n long, node binary, bands array<long>, marks array<long>")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
             sets = shingle_sets(list(t.fillna("")), size)
-            yield pd.DataFrame({"n": [len(h) for h in sets], "node": [hashlib.md5(h.tobytes()).digest() if len(h) else None for h in sets], "bands": [band_keys(h) if len(h) else np.empty(0, np.int64) for h in sets]})
+            yield pd.DataFrame({"n": [len(h) for h in sets], "node": [hashlib.md5(h.tobytes()).digest() if len(h) else None for h in sets], "bands": [band_keys(h) if len(h) else np.empty(0, np.int64) for h in sets], "marks": [parities(h) for h in sets]})
 
     return sketch
 
@@ -113,26 +121,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, text:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
     own = docs.select("doc_id", (F.col("text") if text is None else text).cast("string").alias("text"))
     rows = staged(own.select("doc_id", _sketch(shingle)("text").alias("s")).select("doc_id", "s.*"), "near-sketch")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n").alias("size"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n").alias("size"), F.min("marks").alias("marks"))
     nodes = staged(nodes, "near-nodes")
     # One row's bands for each node: rows of one node have equal bands, so the row of the smallest id serves.
     banded = rows.select("doc_id", "node", "bands").join(nodes, (rows["node"] == nodes["node"]) & rows["doc_id"].eqNullSafe(nodes["first"]))
-    buckets = banded.select(rows["node"], nodes["size"], F.explode("bands").alias("bucket")).distinct()
+    buckets = banded.select(rows["node"], F.explode("bands").alias("bucket")).distinct()
+
+    def possible(x: str, y: str) -> Column:
+        sx, sy = F.col(f"{x}size"), F.col(f"{y}size")
+        differ = sum((F.bit_count(F.col(f"{x}marks")[i].bitwiseXOR(F.col(f"{y}marks")[i])) for i in range(MARKS)), F.lit(0))
+        return (F.least(sx, sy) * 100 >= F.greatest(sx, sy) * percent) & (differ * (100 + percent) <= (sx + sy) * (100 - percent))
 
     def similar(pairs: DataFrame) -> DataFrame:
+        pairs = staged(pairs, "near-pairs")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         ids = wanted.join(nodes, "node").select(F.col("first").alias("doc_id")).distinct()
-        texts = own.join(ids, own["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+        # Staged, so that only these texts are hashed again.
+        texts = staged(own.join(ids, own["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text"), "near-texts")
         sets = texts.select(_hashes(shingle)("text").alias("h")).select("h.*").where("node is not null")
         sets = staged(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "near-sets")
-        size = nodes.select("node", "size")
-        of = lambda side: size.select(F.col("node").alias(side), F.col("size").alias(f"s{side}"))
-        near = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent)
         a, b = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-        both = near.join(b, "b").join(a, "a").withColumn("i", F.size(F.array_intersect("ha", "hb")))
-        return both.where(F.col("i") * 100 >= (F.col("sa") + F.col("sb") - F.col("i")) * percent).select("a", "b")
+        both = pairs.join(b, "b").join(a, "a").withColumn("i", F.size(F.array_intersect("ha", "hb")))
+        return both.where(F.col("i") * 100 >= (F.size("ha") + F.size("hb") - F.col("i")) * percent).select("a", "b")
 
-    labels = classes(buckets, similar, percent, "near")
+    labels = classes(buckets, nodes.select("node", "size", "marks"), possible, similar, "near")
     of_node = nodes.join(labels.withColumnRenamed("v", "node"), "node", "left").select("node", "first", F.coalesce("c", "node").alias("c"))
     smallest = of_node.groupBy("c").agg(F.min("first").alias("component"))
     of_node = of_node.join(smallest, "c").select("node", "component")
