@@ -1,6 +1,6 @@
 """The corpus queries: each applies one operator, with production parameters, to its whole table."""
 
-from . import language, media, near_dedup, secrets, token_counts, toxicity
+from . import decontaminate, language, line_dedup, media, mixing, near_dedup, secrets, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -8,10 +8,18 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_decontamination(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark, sf_dir):
     return token_counts.token_counts(spark, table(spark, sf_dir, "documents"))
 
@@ -24,9 +32,17 @@ def op7_media_columns(spark, sf_dir):
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark, sf_dir):
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark, sf_dir):
+    return line_dedup.line_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark, sf_dir):
     return secrets.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_near_dedup, op5_token_counts, op6_language, op7_media_columns, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_near_dedup, op4_suffix_dedup, op5_token_counts, op6_language, op7_media_columns, op8_mixing, op9_line_dedup, op10_secret_scan)}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.oracle()}
