@@ -24,18 +24,21 @@ from .common import staged
 
 Q = 8
 MULTIPLIER = 0x9E3779B97F4A7C15
-SPACES = str.maketrans({c: " " for c in "\t\n\r\x0b\x0c\x85\xa0  "})
+#: White space other than the blank.
+SPACES = (9, 10, 11, 12, 13, 0x85, 0xA0, 0x2028, 0x2029)
 TABLE_BITS = 22
 
 
-def normalise(text: str | None) -> str:
-    text = (text or "").translate(SPACES)
+def codes(text: str | None) -> np.ndarray:
+    """Code points in lower case, each white-space character a blank; one for each of the text's."""
+    text = text or ""
     low = text.lower()
-    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
-
-
-def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(low) != len(text):
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    for x in SPACES:
+        c[c == x] = 32
+    return c
 
 
 def grams(c: np.ndarray) -> np.ndarray:
@@ -53,9 +56,9 @@ def grams(c: np.ndarray) -> np.ndarray:
 @dataclass
 class Index:
     ids: np.ndarray
-    items: list[str]
+    items: list[np.ndarray]
     budget: np.ndarray
-    bound: np.ndarray
+    bound: np.ndarray  # indexed grams that an occurrence shares at least
     hashes: np.ndarray  # sorted distinct
     starts: np.ndarray  # of each hash's postings, one more at the end
     which: np.ndarray
@@ -64,19 +67,31 @@ class Index:
 
 
 def build(rows: list[tuple[int, str]], edits: float, shortest: int) -> Index:
-    kept = [(i, t) for i, t in ((i, normalise(t)) for i, t in rows) if len(t) >= max(shortest, Q)]
+    kept = [(i, c) for i, c in ((i, codes(t)) for i, t in rows) if len(c) >= max(shortest, Q)]
     items = [t for _, t in kept]
     length = np.array([len(t) for t in items], np.int64)
     budget = (length * edits).astype(np.int64)
-    parts = [grams(codes(t)) for t in items]
+    parts = [grams(t) for t in items]
     flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    bound = np.maximum(1, length - Q + 1 - budget * Q)
+    # An item's commonest grams may stay out of the index if its bound falls by as many: two thirds of it at most.
+    times = np.unique(flat, return_inverse=True, return_counts=True)
+    often = times[2][times[1]] if len(flat) else np.empty(0, np.int64)
+    keep, at = np.ones(len(flat), bool), 0
+    for i, p in enumerate(parts):
+        own = often[at : at + len(p)]
+        out = np.argsort(-own, kind="stable")[: 2 * bound[i] // 3]
+        out = out[own[out] > 1]
+        keep[at + out] = False
+        bound[i] -= len(out)
+        at += len(p)
     which = np.repeat(np.arange(len(items)), [len(p) for p in parts]).astype(np.int32)
     where = np.concatenate([np.arange(len(p)) for p in parts]).astype(np.int32) if parts else np.empty(0, np.int32)
+    flat, which, where = flat[keep], which[keep], where[keep]
     order = np.argsort(flat, kind="stable")
     hashes, starts = np.unique(flat[order], return_index=True)
     table = np.zeros(1 << TABLE_BITS, bool)
     table[hashes >> np.uint64(64 - TABLE_BITS)] = True
-    bound = np.maximum(1, length - Q + 1 - budget * Q)
     return Index(np.array([i for i, _ in kept], np.int64), items, budget, bound, hashes, np.append(starts, len(flat)), which[order], where[order], table)
 
 
@@ -112,8 +127,7 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int)
 
 def search(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
     """(item_id, start, end, edits) of the occurrences in one text; overlapping ones of an item count once."""
-    t = normalise(text)
-    c = codes(t)
+    c = codes(text)
     h = grams(c)
     if not len(h) or not len(index.hashes):
         return []
@@ -132,14 +146,28 @@ def search(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
     longest = max(map(len, index.items))
     band = (diagonal + 2 * longest) // width
     spread = np.int64(4 * longest + len(c) + 4)
-    key = np.concatenate([item * spread + band, item * spread + band - 1])
-    keys, n = np.unique(key, return_counts=True)
+    cells, held = np.unique(item * spread + band, return_counts=True)
+    # A band is a cell and the next one; a region's diagonals lie within one of the two bands that begin around them.
+    keys = np.unique(np.concatenate([cells, cells - 1]))
+    count = lambda k: np.where(cells[(x := np.minimum(np.searchsorted(cells, k), len(cells) - 1))] == k, held[x], 0)
+    n = count(keys) + count(keys + 1)
     found: dict[int, list[tuple[int, int, int]]] = {}
-    for k in keys[n >= index.bound[keys // spread]]:
-        i, b = divmod(int(k), int(spread))
-        w, budget = int(index.budget[i]) + 1, int(index.budget[i])
-        low = b * w - 2 * longest
-        got = align(codes(index.items[i]), c, low - budget, low + 2 * w - 1 + budget, budget)
+    last = -2
+    for k in keys[n >= index.bound[keys // spread]].tolist():
+        if k == last + 1:  # two bands in a row are verified together: occurrences that near overlap
+            last = -2
+            continue
+        last = k
+        i, b = divmod(k, int(spread))
+        w, budget, wanted = int(index.budget[i]) + 1, int(index.budget[i]), index.items[i]
+        low = b * w - 2 * longest - budget
+        high = low + 3 * w - 1 + 2 * budget
+        part = c[max(0, low) : max(0, high + len(wanted))]
+        same = part.tobytes().find(wanted.tobytes())
+        if same >= 0 and same % 4 == 0:
+            got = (0, max(0, low) + same // 4, max(0, low) + same // 4 + len(wanted))
+        else:
+            got = align(wanted, c, low, high, budget)
         if got:
             found.setdefault(i, []).append(got)
     out = []
