@@ -13,6 +13,7 @@ and marginals are aggregated, and those partially before the shuffle, so a hot s
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -43,24 +44,21 @@ def with_cells(docs: DataFrame) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = 8, temper: dict[str, float] | None = None) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with ``factor``, the raked share over the share. A target has the dimension and ``share``."""
     total = cells.agg(F.sum("tokens").alias("total"))
-    now = cells.crossJoin(F.broadcast(total)).withColumn("w", F.col("tokens") / F.col("total")).drop("total")  # one row
-    now = staged(now, "mix-cells")
-    aims = {}
+    now = staged(cells.crossJoin(F.broadcast(total)).withColumn("w", F.col("tokens") / F.col("total")), "mix-cells")  # total is one row
     for d in DIMS:
         if targets and d in targets:
-            aims[d] = targets[d].select(d, F.col("share").alias("aim"))
-            continue
-        own = now.groupBy(d).agg(F.sum("tokens").alias("t")).withColumn("p", F.pow(F.col("t").cast("double"), F.lit((temper or TEMPER)[d])))
-        norm = own.agg(F.sum("p").alias("all"))
-        aims[d] = staged(own.crossJoin(F.broadcast(norm)).select(d, (F.col("p") / F.col("all")).alias("aim")), "mix-aim")  # one row
+            aim = targets[d].select(d, F.col("share").alias(f"aim_{d}"))
+        else:
+            own = now.groupBy(d).agg(F.sum("tokens").alias("t")).withColumn("p", F.pow(F.col("t").cast("double"), F.lit((temper or TEMPER)[d])))
+            norm = own.agg(F.sum("p").alias("all"))  # one row
+            aim = own.crossJoin(F.broadcast(norm)).select(d, (F.col("p") / F.col("all")).alias(f"aim_{d}"))
+        now = now.join(aim, d)
+    now = staged(now, "mix-aims")
     for _ in range(rounds):
-        for d in DIMS:
-            have = now.groupBy(d).agg(F.sum("w").alias("have"))
-            ratio = have.join(aims[d], d).select(d, (F.col("aim") / F.col("have")).alias("ratio"))
-            now = now.join(ratio, d).withColumn("w", F.col("w") * F.col("ratio")).drop("ratio")
+        for d in DIMS:  # a group holds cells, as many as the other dimensions have combinations, never documents
+            now = now.withColumn("w", F.col("w") * F.col(f"aim_{d}") / F.sum("w").over(W.partitionBy(d)))
         now = staged(now, "mix-cells")
-    share = now.agg(F.sum("tokens").alias("total"))
-    return now.crossJoin(F.broadcast(share)).select(*DIMS, "tokens", "w", (F.col("w") * F.col("total") / F.col("tokens")).alias("factor"))  # one row
+    return now.select(*DIMS, "tokens", "w", (F.col("w") * F.col("total") / F.col("tokens")).alias("factor"))
 
 
 def uniform(id_: Column) -> Column:
