@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
@@ -18,6 +19,7 @@ def prose(n):
     return " ".join(RNG.choices(VOCABULARY, k=n))
 
 
+@cache
 def documents():
     base = [prose(RNG.randint(5, 120)) for _ in range(25)]
     rows = list(enumerate(base))
