@@ -180,3 +180,15 @@ def test_mixing_keeps_rows_and_columns(docs):
 @pytest.mark.parametrize("run", [near_dedup.near_duplicates, suffix_dedup.suffix_digest, line_dedup.line_digest, mixing.mix_digest, secrets.op10, media.media_digest, language.identify_language])
 def test_empty_tables(docs, run):
     assert run(docs.limit(0)).isEmpty()
+
+
+def test_bit_sums_equal_unpacked_bits():
+    from recordmill.llm.line_dedup import bit_sums
+
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 2, 254, 255, 256, 509, 510, 511, 1300])
+    starts = np.cumsum(sizes) - sizes
+    h = rng.integers(0, 1 << 63, sizes.sum(), dtype=np.uint64) * np.uint64(2)
+    h[starts[5] : starts[6]] = np.uint64((1 << 64) - 1)
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
+    assert (bit_sums(h, starts, sizes) == [bits[a : a + n].sum(axis=0) for a, n in zip(starts, sizes, strict=True)]).all()
