@@ -192,3 +192,42 @@ def test_bit_sums_equal_unpacked_bits():
     h[starts[5] : starts[6]] = np.uint64((1 << 64) - 1)
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
     assert (bit_sums(h, starts, sizes) == [bits[a : a + n].sum(axis=0) for a, n in zip(starts, sizes, strict=True)]).all()
+
+
+def edited_lines():
+    """Lines, each after its original: a word replaced, a tenth of the words replaced, a twentieth of the characters replaced."""
+    draw, rows = random.Random(4), []
+    new = lambda n: [" ".join("".join(draw.choices("abcdefghijklmnop", k=draw.randint(3, 9))) for _ in range(k)) for k in n]
+    for kind in ("word", "words", "characters"):
+        for line in new(draw.randint(8, 60) for _ in range(150)):
+            if kind == "characters":
+                parts = list(line)
+                for k in draw.sample(range(len(parts)), len(parts) // 20):
+                    parts[k] = "z"
+                rows.append((kind, line, "".join(parts)))
+            else:
+                parts = line.split()
+                for k in draw.sample(range(len(parts)), max(1, len(parts) // 10) if kind == "words" else 1):
+                    parts[k] = new([1])[0]
+                rows.append((kind, line, " ".join(parts)))
+    return rows
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_lines_with_changed_words_are_found(spark):
+    rows = edited_lines()
+    wanted = [(n, kind) for n, (kind, a, b) in enumerate(rows) if 5 * distance(a, b) <= max(len(a), len(b))]
+    docs = spark.createDataFrame([(2 * n + i, x) for n, (_, *ab) in enumerate(rows) for i, x in enumerate(ab)], "doc_id long, text string")
+    gone = {r["at"] for r in line_dedup.repeated_lines(docs).collect()}
+    assert gone <= {2 * n + 1 for n, _ in wanted} and len(wanted) > 400
+    for kind in ("word", "words", "characters"):
+        of = [2 * n + 1 in gone for n, k in wanted if k == kind]
+        assert sum(of) >= 0.93 * len(of), (kind, sum(of), len(of))
