@@ -231,3 +231,9 @@ def test_lines_with_changed_words_are_found(spark):
     for kind in ("word", "words", "characters"):
         of = [2 * n + 1 in gone for n, k in wanted if k == kind]
         assert sum(of) >= 0.93 * len(of), (kind, sum(of), len(of))
+
+
+def test_repeated_lines_without_spaces_go(spark):
+    docs = spark.createDataFrame([(1, "本サイトの著作権は当社に帰属します\nสงวนลิขสิทธิ์ตามกฎหมาย"), (2, "own words of a row\n本サイトの著作権は当社に帰属します\nสงวนลิขสิทธิ์ตามกฎหมาย")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs).collect()}[2] == "own words of a row"
+    assert line_dedup.enough("", 0) and not line_dedup.enough("", 1) and not line_dedup.enough("das ist für uns", 5)
