@@ -15,3 +15,12 @@ def test_missing_values_and_required_fields(spark):
     assert scored(Feature("name", edit_similarity), Feature("tag", same, 1, "disagree"))[1, 2] == (0.5, "distinct")
     assert scored(Feature("name", edit_similarity, required=True), Feature("tag", same))[1, 3][1] == "rejected"
     assert scored(Feature("name", edit_similarity, required=True))[2, 4][1] == "rejected"
+
+
+def test_name_similarities_score_all_pairs(spark):
+    from recordmill import plans
+
+    names = {r[0] for r in spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_name").distinct().collect()}
+    for query in ("edit_similarity", "token_jaccard", "jaro_winkler"):
+        pairs = [(r.l, r.r) for r in plans.QUERIES[query](spark, "/root/testdata/sf0.01").collect()]
+        assert len(pairs) == 2016 and set(pairs) == {(a, b) for a in names for b in names if a < b}, query
