@@ -2,7 +2,8 @@
 
 Token counts are summed in cells of source, language and topic. Raking scales the cells to each target marginal in
 turn, ``rounds`` times; a cell's factor is its raked share over its share, and a document stays with probability
-min(1, ``keep`` * factor), decided by the MD5 digest of its id, so that repeated rows share their fate. Targets not
+factor * min(``keep``, 1 / largest factor), decided by the MD5 digest of its id, so that repeated rows share their fate.
+No cell's probability is cut at 1, so the sample's expected shares are the raked ones. Targets not
 given are the corpus' own marginals raised to ``temper`` and normalised: large groups give way to small ones.
 
 Tokens are estimated as a quarter of the characters, at least one. Null source and language form a group of their own;
@@ -71,7 +72,10 @@ def mixed(docs: DataFrame, keep: float = 0.8, targets: dict[str, DataFrame] | No
     """Every row of ``docs`` with ``__tokens``, ``__keep`` (probability) and ``__kept``."""
     rows = with_cells(docs)
     cells = rows.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMS]).agg(F.sum("__tokens").alias("tokens"))
-    chance = rake(cells, targets, rounds).select(*[F.col(d).alias(f"__{d}") for d in DIMS], F.least(F.lit(1.0), keep * F.col("factor")).alias("__keep"))
+    raked = rake(cells, targets, rounds)
+    most = raked.agg(F.max("factor").alias("most"))  # one row
+    scaled = F.least(F.lit(1.0), F.col("factor") * F.least(F.lit(keep), 1 / F.col("most")))  # least: rounding only
+    chance = raked.crossJoin(F.broadcast(most)).select(*[F.col(d).alias(f"__{d}") for d in DIMS], scaled.alias("__keep"))
     joined = rows.join(chance, [f"__{d}" for d in DIMS])
     return joined.select(*docs.columns, "__topic", "__tokens", "__keep", (uniform(F.col("doc_id")) < F.col("__keep")).alias("__kept"))
 

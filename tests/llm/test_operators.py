@@ -237,3 +237,18 @@ def test_repeated_lines_without_spaces_go(spark):
     docs = spark.createDataFrame([(1, "本サイトの著作権は当社に帰属します\nสงวนลิขสิทธิ์ตามกฎหมาย"), (2, "own words of a row\n本サイトの著作権は当社に帰属します\nสงวนลิขสิทธิ์ตามกฎหมาย")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs).collect()}[2] == "own words of a row"
     assert line_dedup.enough("", 0) and not line_dedup.enough("", 1) and not line_dedup.enough("das ist für uns", 5)
+
+
+def test_the_sample_has_the_raked_marginals(spark):
+    rows = [(i, ("a | b " if i % 9 == 0 else "plain ") * 40, "de" if i % 5 == 0 else "en", "rare" if i % 20 == 0 else "hot") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got, tokens = mixing.mixed(docs).collect(), 60
+    kept = sum(r["__keep"] for r in got)
+    for column, dim in (("source", "source"), ("lang", "lang"), ("__topic", "topic")):
+        sizes = {}
+        for r in got:
+            sizes[r[column]] = sizes.get(r[column], 0) + tokens
+        norm = sum(n ** mixing.TEMPER[dim] for n in sizes.values())
+        for group, n in sizes.items():
+            assert abs(sum(r["__keep"] for r in got if r[column] == group) / kept - n ** mixing.TEMPER[dim] / norm) < 1e-3, (dim, group)
+    assert max(r["__keep"] for r in got) <= 1 and {r["__tokens"] for r in got} == {tokens}
