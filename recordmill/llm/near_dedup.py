@@ -117,11 +117,13 @@ def _hashes(size: int):
     return hashes
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, text: Column | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
-    own = docs.select("doc_id", (F.col("text") if text is None else text).cast("string").alias("text"))
-    rows = staged(own.select("doc_id", _sketch(shingle)("text").alias("s")).select("doc_id", "s.*"), "near-sketch")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n").alias("size"), F.min("marks").alias("marks"))
+def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, text: Column | None = None, row: Column | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs``; with ``row``, by which rows of one id differ, also that and ``only``, whether it is the row of its component that stays."""
+    key = [] if row is None else [row.alias("row")]
+    own = docs.select("doc_id", (F.col("text") if text is None else text).cast("string").alias("text"), *key)
+    key = [] if row is None else ["row"]
+    rows = staged(own.select("doc_id", *key, _sketch(shingle)("text").alias("s")).select("doc_id", *key, "s.*"), "near-sketch")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n").alias("size"), F.min("marks").alias("marks"), *[F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head") for _ in key])
     nodes = staged(nodes, "near-nodes")
     # One row's bands for each node: rows of one node have equal bands, so the row of the smallest id serves.
     banded = rows.select("doc_id", "node", "bands").join(nodes, (rows["node"] == nodes["node"]) & rows["doc_id"].eqNullSafe(nodes["first"]))
@@ -145,16 +147,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, text:
         return both.where(F.col("i") * 100 >= (F.size("ha") + F.size("hb") - F.col("i")) * percent).select("a", "b")
 
     labels = classes(buckets, nodes.select("node", "size", "marks"), possible, similar, "near")
-    of_node = nodes.join(labels.withColumnRenamed("v", "node"), "node", "left").select("node", "first", F.coalesce("c", "node").alias("c"))
-    smallest = of_node.groupBy("c").agg(F.min("first").alias("component"))
-    of_node = of_node.join(smallest, "c").select("node", "component")
-    out = rows.select("doc_id", "n", "node").join(of_node, "node", "left")
+    of_node = nodes.join(labels.withColumnRenamed("v", "node"), "node", "left").select("node", "first", *["head" for _ in key], F.coalesce("c", "node").alias("c"))
+    smallest = of_node.groupBy("c").agg(F.min("first").alias("component"), *[F.min("head").alias("stays") for _ in key])
+    of_node = of_node.join(smallest, "c").select("node", "component", *["stays" for _ in key])
+    out = rows.select("doc_id", *key, "n", "node").join(of_node, "node", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    only = [(F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("row") == F.col("stays.row")))).alias("only") for _ in key]
+    return out.select("doc_id", *key, *only, F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Stage: one document of each group of near copies, and one of repeated rows; columns as in ``docs``."""
-    gone = near_duplicates(docs, shingle, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    gone = near_duplicates(docs, shingle, percent, row=digest).where(~F.col("only"))
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (digest == gone["__row"]), "left_anti")
     return left.dropDuplicates(["doc_id", "text"])

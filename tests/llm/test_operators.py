@@ -252,3 +252,10 @@ def test_the_sample_has_the_raked_marginals(spark):
         for group, n in sizes.items():
             assert abs(sum(r["__keep"] for r in got if r[column] == group) / kept - n ** mixing.TEMPER[dim] / norm) < 1e-3, (dim, group)
     assert max(r["__keep"] for r in got) <= 1 and {r["__tokens"] for r in got} == {tokens}
+
+
+def test_near_copies_go_by_row(spark):
+    one, two, three = prose(60), prose(60), prose(60)
+    rows = [(1, one), (2, one + " tail"), (2, two), (None, one + " end"), (None, three), (None, three), (5, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, near_dedup.keep_one(docs).collect())) == sorted(map(str, spark.createDataFrame([(1, one), (2, two), (None, three), (5, None), (5, "")], "doc_id long, text string").collect()))
