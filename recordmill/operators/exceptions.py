@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,12 +18,20 @@ CLOSED = ("resolved", "accepted")
 SNAPSHOT = "fingerprint string, outcome string, severity string, status string, first_run int, last_run int, occurrence_count int"
 
 
-def fold(ledger: DataFrame, findings: DataFrame, run: int) -> DataFrame:
+def firsts(findings: DataFrame, columns: list[str], order: Column | None = None) -> DataFrame:
+    """The first finding of each fingerprint: by ``order``, the findings' column ``position`` or, without either, by outcome and severity."""
+    if order is None:
+        order = F.col("position") if "position" in findings.columns else F.struct(*columns)
+    return findings.groupBy("fingerprint").agg(F.min_by(F.struct(*columns), order).alias("x")).select("fingerprint", "x.*")
+
+
+def fold(ledger: DataFrame, findings: DataFrame, run: int, order: Column | None = None) -> DataFrame:
     """The ledger after a run: new findings open, known ones are counted once, closed ones that come back are open again.
 
-    Columns of the ledger beyond those of ``SNAPSHOT`` are kept.
+    Of several findings of one fingerprint the first counts (see ``firsts``). Columns of the ledger beyond those of
+    ``SNAPSHOT`` are kept.
     """
-    batch = findings.groupBy("fingerprint").agg(F.min("outcome").alias("new_outcome"), F.min("severity").alias("new_severity"))
+    batch = firsts(findings, ["outcome", "severity"], order).withColumnsRenamed({"outcome": "new_outcome", "severity": "new_severity"})
     seen = F.col("new_outcome").isNotNull()
     status = F.when(F.col("status").isNull(), "open").when(seen & F.col("status").isin(*CLOSED), "open").otherwise(F.col("status"))
     return ledger.join(batch, "fingerprint", "full_outer").select(
@@ -46,17 +54,18 @@ def fold_events(ledger: DataFrame, findings: DataFrame, run: int) -> DataFrame:
 
 
 def judge(ledger: DataFrame, requests: DataFrame) -> DataFrame:
-    """``requests`` (fingerprint, to_status and more) with ``status``, and ``problem``: why one can't be met, or null.
+    """``requests`` (fingerprint, to_status and more) with ``status``, and ``problem``: a code that says why one can't be met, or null.
 
-    A request for the present status or for none is no move. Closing needs a reason, if ``requests`` has that column.
+    ``unknown``: no such exception. ``barred:A>B``: status A may not become B. ``reason_missing``: closing needs a reason,
+    if ``requests`` has that column. A request for the present status or for none is no move.
     """
     both = requests.join(ledger.select("fingerprint", "status"), "fingerprint", "left")
     moves = F.create_map(*[x for a, bs in TRANSITIONS.items() for x in (F.lit(a), F.array(*map(F.lit, bs)))])
     move = F.col("to_status").isNotNull() & (F.col("to_status") != F.col("status"))
     barred = move & ~F.coalesce(F.array_contains(moves[F.col("status")], F.col("to_status")), F.lit(False))
-    problem = F.when(F.col("status").isNull(), "No longer exists.").when(barred, F.format_string('Cannot move from "%s" to "%s".', "status", "to_status"))
+    problem = F.when(F.col("status").isNull(), "unknown").when(barred, F.format_string("barred:%s>%s", "status", "to_status"))
     if "reason" in requests.columns:
-        problem = problem.when(move & F.col("to_status").isin(*CLOSED) & (F.trim(F.coalesce("reason", F.lit(""))) == ""), "Closing needs a reason.")
+        problem = problem.when(move & F.col("to_status").isin(*CLOSED) & (F.trim(F.coalesce("reason", F.lit(""))) == ""), "reason_missing")
     return both.withColumn("problem", problem)
 
 
@@ -100,15 +109,20 @@ def change(ledger: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Findings of two runs side by side: introduced, resolved, persisting, or changed where the outcome differs."""
-    first = lambda df, name: df.groupBy("fingerprint").agg(F.min("outcome").alias(name))
+    first = lambda df, name: firsts(df, ["outcome"]).withColumnRenamed("outcome", name)
     both = first(before, "before").join(first(after, "after"), "fingerprint", "full_outer")
     change = F.when(F.col("before").isNull(), "introduced").when(F.col("after").isNull(), "resolved").when(F.col("before") == F.col("after"), "persisting").otherwise("changed")
     return both.withColumn("change", change)
 
 
+def said() -> Column:
+    """The verdict on columns introduced, resolved, persisting and changed."""
+    none = F.col("changed") == 0
+    out = F.when((F.col("introduced") == 0) & (F.col("resolved") == 0) & none, F.when(F.col("persisting") > 0, "unchanged").otherwise("clean"))
+    return out.when((F.col("introduced") > 0) & (F.col("resolved") == 0), "worse").when((F.col("resolved") > 0) & (F.col("introduced") == 0), "better").otherwise("churn")
+
+
 def verdict(changes: DataFrame) -> DataFrame:
     n = {x: F.count_if(F.col("change") == x) for x in ("introduced", "resolved", "persisting", "changed")}
     c = changes.agg(*[v.alias(k) for k, v in n.items()])
-    said = F.when((F.col("introduced") == 0) & (F.col("resolved") == 0) & (F.col("changed") == 0), F.when(F.col("persisting") > 0, "unchanged").otherwise("clean"))
-    said = said.when((F.col("resolved") == 0) & (F.col("changed") == 0), "worse").when((F.col("introduced") == 0) & (F.col("changed") == 0), "better").otherwise("churn")
-    return c.withColumn("net_change", F.col("introduced") - F.col("resolved")).withColumn("verdict", said)
+    return c.withColumn("net_change", F.col("introduced") - F.col("resolved")).withColumn("verdict", said())

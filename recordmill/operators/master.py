@@ -1,9 +1,8 @@
-"""Mastering: blocking, pair scoring and survivorship."""
+"""Blocking: keys, candidate pairs with a cap, and what they cost."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordmill.functions.text import ngrams, sort_tokens, soundex
@@ -24,32 +23,46 @@ def blocks(records: DataFrame, id_col: str, keys: list[Column]) -> DataFrame:
     return records.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.flatten(F.array(*keys)))).alias("block"))
 
 
-def block_pairs(blocked: DataFrame) -> DataFrame:
-    """Distinct candidate pairs l < r that share a block."""
-    l, r = blocked.select(F.col("id").alias("l"), "block"), blocked.select(F.col("id").alias("r"), "block")  # noqa: E741
-    return l.join(r, "block").where("l < r").select("l", "r").distinct()
+#: Records of a block that meet in one place; larger blocks are split.
+CHUNK = 1000
+
+
+def block_sizes(blocked: DataFrame) -> DataFrame:
+    return blocked.groupBy("block").agg(F.count("*").alias("n"))
+
+
+def block_pairs(blocked: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Distinct candidate pairs l < r that share a block.
+
+    A block of more than ``chunk`` records is dealt into chunks by a hash of the ids, and each two chunks meet under a
+    key of their own, so that no task holds more than ``chunk`` times ``chunk`` pairs of it.
+    """
+    sizes = block_sizes(blocked).where("n > 1").select("block", F.ceil(F.col("n") / chunk).cast("int").alias("k"))
+    sized = blocked.join(sizes, "block").select("id", "block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("own"), F.explode(F.expr("sequence(0, k - 1)")).alias("other"))
+    l, r = sized.select(F.col("id").alias("l"), "block", "own", "other"), sized.select(F.col("id").alias("r"), "block", F.col("other").alias("own"), F.col("own").alias("other"))  # noqa: E741
+    return l.join(r, ["block", "own", "other"]).where("l < r").select("l", "r").distinct()
+
+
+def candidates(blocked: DataFrame, most: int = 500_000, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """The least ``most`` pairs (l, r), and one row: candidate_pairs, truncated, blocks_examined, largest_block.
+
+    As in the specification, ``truncated`` also holds if there are just as many pairs as allowed.
+    """
+    pairs = block_pairs(blocked, chunk)
+    kept = pairs.orderBy("l", "r").limit(max(1, most))
+    found = kept.agg(F.count("*").alias("candidate_pairs")).withColumn("truncated", F.col("candidate_pairs") >= most)
+    return kept, found.crossJoin(F.broadcast(block_stats(blocked).select(F.col("blocks").alias("blocks_examined"), "largest_block")))  # one row each
 
 
 def block_stats(blocked: DataFrame) -> DataFrame:
-    sizes = blocked.groupBy("block").agg(F.count("*").alias("n"))
-    return sizes.agg(F.count("*").alias("blocks"), F.max("n").alias("largest_block"))
-
-
-def survivors(records: DataFrame, cluster: str, fields: list[str], trust: Column, recency: Column, id_col: str) -> DataFrame:
-    """Per cluster and field: the most trusted, the most recent, the most frequent and the longest value."""
-    order = F.struct(trust.alias("t"), F.coalesce(-F.unix_timestamp(recency), F.lit(1 << 60)).alias("r"), F.col(id_col).alias("i"))
-    rows = records.withColumn("__order", order)
-    for f in fields:
-        rows = rows.withColumn(f"__n_{f}", F.count(f).over(W.partitionBy(cluster, f)))
-    aggs = [F.count("*").alias("member_count")]
-    for f in fields:
-        has = lambda x, f=f: F.when(F.col(f).isNotNull(), x)
-        late = F.struct(F.coalesce(F.unix_timestamp(recency), F.lit(-1)).alias("r"), (-F.col("__order.t")).alias("t"))
-        aggs += [
-            F.min_by(f, has(F.col("__order"))).alias(f"{f}_trusted"),
-            F.max_by(f, has(late)).alias(f"{f}_recent"),
-            F.min_by(f, has(F.struct((-F.col(f"__n_{f}")).alias("n"), F.col("__order")))).alias(f"{f}_frequent"),
-            F.min_by(f, has(F.struct((-F.length(F.col(f).cast("string"))).alias("n"), F.col("__order")))).alias(f"{f}_longest"),
-            F.count_distinct(f).alias(f"{f}_values"),
-        ]
-    return rows.groupBy(cluster).agg(*aggs)
+    return block_sizes(blocked).agg(F.count("*").alias("blocks"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_block"))
+
+
+def block_cost(blocked: DataFrame) -> DataFrame:
+    """Pairs within blocks, counted from the blocks' sizes: what comparing costs before any pair is made."""
+    return block_sizes(blocked).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).cast("long").alias("pairs"))
+
+
+def comparisons(records: DataFrame) -> DataFrame:
+    """All pairs of the records, which blocking saves from being compared."""
+    return records.agg(F.count("*").alias("records")).select("records", F.expr("records * (records - 1) div 2").alias("exhaustive"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -10,13 +12,93 @@ DAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Satur
 TERMINAL = ("completed", "failed", "cancelled", "interrupted")
 
 
+# Short names of zones.
+ZONES = {
+    "UTC": "UTC", "CET": "Europe/Warsaw", "CEST": "Europe/Warsaw", "EET": "Europe/Helsinki", "ET": "America/New_York", "CT": "America/Chicago",
+    "MT": "America/Denver", "PT": "America/Los_Angeles", "GMT": "Europe/London", "BST": "Europe/London", "IST": "Asia/Kolkata", "JST": "Asia/Tokyo",
+    "SGT": "Asia/Singapore", "AEST": "Australia/Sydney", "SAST": "Africa/Johannesburg",
+}
+
+
 def zone(label: Column, aliases: dict[str, str] | None = None) -> Column:
-    """A zone's name without the `` (label)`` behind it; names with a slash pass, aliases are looked up, the rest is UTC."""
+    """A zone's name without the `` (label)`` behind it; names with a slash pass, aliases are looked up in any case, the rest is UTC."""
     bare = F.trim(F.regexp_replace(F.coalesce(label, F.lit("")), r"\s*\(.*\)\s*$", ""))
-    out = F.when(bare.contains("/"), bare)
-    for short, name in (aliases or {}).items():
-        out = out.when(bare == short, name)
-    return out.otherwise("UTC")
+    known = F.create_map(*[F.lit(x) for pair in (ZONES | (aliases or {})).items() for x in pair])
+    return F.when(bare.contains("/"), bare).otherwise(F.coalesce(F.element_at(known, F.upper(bare)), F.lit("UTC")))
+
+
+@lru_cache(1)
+def _zones() -> tuple[str, ...]:
+    """The zones that this Spark knows; some six hundred."""
+    jvm = SparkSession.active()._jvm
+    return tuple(sorted(jvm.java.time.ZoneId.getAvailableZoneIds().toArray()))
+
+
+def usable(name: Column) -> Column:
+    """The zone, or UTC where there is none of that name."""
+    return F.when(name.isin(*_zones()), name).otherwise("UTC")
+
+
+def local_time(utc: Column, name: Column) -> Column:
+    """The wall clock of a zone at a moment; UTC's in an unknown zone."""
+    return F.from_utc_timestamp(utc, usable(name))
+
+
+def local_to_utc(local: Column, name: Column) -> Column:
+    """The moment at which a zone's wall clock shows ``local``, by the zone's offset when UTC's clock shows it."""
+    offset = F.unix_timestamp(local_time(local, name)) - F.unix_timestamp(local)
+    return F.timestamp_seconds(F.unix_timestamp(local) - offset)
+
+
+def utc_schedule(schedules: DataFrame, now: Column) -> DataFrame:
+    """``schedules`` (kind, hour, minute, day, zone and more) with zone normalised, and utc_hour (null if hourly), utc_minute, utc_day.
+
+    The day that is converted is today in the zone, the next named day of a weekly schedule, or Monday for weekdays on a
+    weekend.
+    """
+    tz = zone(F.col("zone"))
+    today = F.date_trunc("day", local_time(now, tz))
+    dow = F.dayofweek(today) - 1
+    wanted = F.array_position(F.array(*map(F.lit, DAYS)), F.col("day")).cast("int") - 1
+    ahead = F.when((F.col("kind") == "weekly") & (wanted >= 0), F.pmod(wanted - dow, F.lit(7))).when((F.col("kind") == "weekdays") & ~dow.between(1, 5), F.pmod(F.lit(1) - dow, F.lit(7))).otherwise(0)
+    clock = F.coalesce(F.col("hour"), F.lit(0)) * 3600 + F.coalesce(F.col("minute"), F.lit(0)) * 60
+    local = F.timestamp_seconds(F.unix_timestamp(today) + F.coalesce(ahead, F.lit(0)) * 86400 + clock)
+    at = local_to_utc(local, tz)
+    hour = F.when(F.col("kind") != "hourly", F.hour(at))
+    day = F.element_at(F.array(*map(F.lit, DAYS)), F.dayofweek(at))
+    kept = [F.col(c) for c in schedules.columns if c != "zone"]
+    return schedules.select(*kept, tz.alias("zone"), hour.alias("utc_hour"), F.minute(at).alias("utc_minute"), day.alias("utc_day"))
+
+
+def fill_utc(schedules: DataFrame, now: Column) -> DataFrame:
+    """``schedules`` with missing utc_hour, utc_minute and utc_day filled in; stored values stay. This is also the backfill of old tables."""
+    stored = [F.col(c).alias(f"__{c}") for c in ("utc_hour", "utc_minute", "utc_day")]
+    made = utc_schedule(schedules.select(*[c for c in schedules.columns if not c.startswith("utc_")], *stored), now)
+    return made.select(*[F.coalesce(f"__{c}", c).alias(c) if c.startswith("utc_") else F.col(c) for c in schedules.columns])
+
+
+def schedule_label() -> Column:
+    """Text of a schedule (kind, utc_hour, utc_minute, utc_day); null where it isn't known."""
+    two = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
+    clock = F.concat(two("utc_hour"), F.lit(":"), two("utc_minute"), F.lit(" UTC"))
+    day = F.nullif(F.col("utc_day"), F.lit(""))
+    return F.when(F.col("kind") == "hourly", F.concat(F.lit("hourly at minute "), two("utc_minute"), F.lit(" UTC"))).otherwise(F.coalesce(F.concat(clock, F.lit(" ("), day, F.lit(")")), clock))
+
+
+def schedules_of(schedules: DataFrame, capacities: DataFrame) -> DataFrame:
+    """Schedules (capacity_name) with the id of the capacity of that name in any case."""
+    return schedules.join(capacities.select(F.col("id").alias("capacity_id"), F.lower("name").alias("__name")), F.lower("capacity_name") == F.col("__name")).drop("__name")
+
+
+def history(executions: DataFrame, name: str, now: Column, days: int = 30, most: int = 50) -> DataFrame:
+    """The newest executions of a capacity in the last ``days`` days."""
+    since = F.timestamp_seconds(F.unix_timestamp(now) - days * 86400)
+    return executions.where((F.col("name") == name) & (F.col("executed_at") >= since)).orderBy(F.desc("executed_at"), "id").limit(most)
+
+
+def last_executions(executions: DataFrame) -> DataFrame:
+    """(id, succeeded_at, skipped_at) of each schedule."""
+    return executions.groupBy("id").agg(*[F.max(F.when(F.col("status") == s, F.col("executed_at"))).alias(n) for s, n in (("success", "succeeded_at"), ("skipped", "skipped_at"))])
 
 
 def is_due(local: Column) -> Column:
@@ -34,9 +116,9 @@ def due_slots(schedules: DataFrame, now: Column, window: int = 240) -> DataFrame
     """
     last = F.date_trunc("minute", now)
     minutes = F.transform(F.sequence(F.lit(0), F.lit(window)), lambda m: F.timestamp_seconds(F.unix_timestamp(last) - m * 60))
-    due = F.filter(minutes, lambda t: is_due(F.from_utc_timestamp(t, F.col("zone"))))
-    rows = schedules.select("id", "zone", F.get(due, F.lit(0)).alias("due_at")).where("due_at is not null")
-    slot = F.date_format(F.from_utc_timestamp("due_at", F.col("zone")), "yyyy-MM-dd'T'HH:mm")
+    due = F.filter(minutes, lambda t: is_due(F.from_utc_timestamp(t, F.col("__zone"))))
+    rows = schedules.withColumn("__zone", usable(zone(F.col("zone")))).select("id", "__zone", F.get(due, F.lit(0)).alias("due_at")).where("due_at is not null")
+    slot = F.date_format(F.from_utc_timestamp("due_at", F.col("__zone")), "yyyy-MM-dd'T'HH:mm")
     return rows.select("id", slot.alias("slot"), "due_at", ((F.unix_timestamp(last) - F.unix_timestamp("due_at")) / 60).cast("long").alias("minutes_late"))
 
 

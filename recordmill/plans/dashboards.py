@@ -31,8 +31,8 @@ def recent_runs(s, d):
 
 
 def overview(s, d):
-    """Per model, independent maxima over its completed runs."""
-    runs = _read(s, d, "lineitem").where("l_linenumber < 4").selectExpr("l_partkey % 50 model", "l_orderkey golden", "l_suppkey duplicates")
+    """Per model, independent maxima over its runs."""
+    runs = _read(s, d, "lineitem").selectExpr("l_partkey % 50 model", "l_orderkey golden", "l_suppkey duplicates")
     return runs.groupBy("model").agg(F.count("*").alias("runs"), F.max("golden").alias("golden"), F.max("duplicates").alias("duplicates"))
 
 
@@ -64,7 +64,7 @@ PLANS = {
     "dashboard_top_rules": (top_rules, EXC + "select rule, count(*) open_count, max(occurrences) worst_recurrence, max(first_seen)::varchar last_seen from o group by 1 order by 2 desc, 1 limit 20"),
     "recent_runs": (recent_runs, EXC + "select id, first_seen::varchar started from x order by first_seen desc, id limit 15"),
     "open_headline": (lambda s, d: _exceptions(s, d).agg(F.count_if(~F.col("status").isin(*ex.CLOSED)).alias("open"), F.count("*").alias("total")), EXC + "select count(*) filter (status <> 'resolved') as open, count(*) total from x"),
-    "mdm_overview": (overview, "select l_partkey % 50 model, count(*) runs, max(l_orderkey) golden, max(l_suppkey) duplicates from lineitem where l_linenumber < 4 group by 1"),
+    "mdm_overview": (overview, "select l_partkey % 50 model, count(*) runs, max(l_orderkey) golden, max(l_suppkey) duplicates from lineitem group by 1"),
     "folder_rollup": (folders, "with f as (select string_split(regexp_replace(url, '^[a-z]+://', ''), '/') p, length(html) size from pages), g as (select p[1] area, array_to_string(p[1:2], '/') folder, count(*) files, sum(size) size from f group by all) select area, count(*) folders, sum(files)::bigint files, sum(size)::bigint size, max(size)::bigint largest from g group by 1"),
     "settings_summary": (settings, "select string_split(p_type, ' ')[1] grp, count(*) total, count(*) filter (p_partkey % 3 = 0) enabled, count(*) filter (p_partkey % 3 <> 0) disabled, count(*) filter (p_partkey % 4 = 0) delegated, count(*) filter (p_partkey % 10 > 4) group_scoped from part group by 1"),
     "survivor_strategies": (strategies, SYSTEMS + ", f as (select *, count(segment) over (partition by digits, segment) n from s) select digits as cluster, count(*) member_count, arg_min(segment, (-n) * 10 + trust) segment, arg_min(id, (-n) * 10 + trust) segment_from, arg_min(name, trust) as name, max(cast(round(balance * 100) as bigint))::varchar cents, (count(distinct segment) > 1)::int + (count(distinct name) > 1)::int + (count(distinct cast(round(balance * 100) as bigint)) > 1)::int + (count(distinct upper(segment)) > 1)::int + (count(distinct left(id, 3)) > 1)::int conflicts, true needs_steward from f group by digits"),

@@ -35,9 +35,9 @@ def _address(s, d):
     return _read(s, d, "part").select("p_partkey", tx.expand_abbreviations(F.concat(F.lit("12 N. "), "p_name", F.lit(" St. Ltd"))).alias("value"))
 
 
-def _overview(s, d):
-    pairs = master.block_pairs(master.blocks(_read(s, d, "customer").withColumn("nation", F.col("c_nationkey").cast("string")).withColumn("segment", F.concat_ws("-", "nation", "c_mktsegment")), "c_custkey", [master.block_keys("segment", "exact")]))
-    return pairs.agg(F.count("*").alias("pairs"))
+def _cost(s, d):
+    keyed = _read(s, d, "customer").withColumn("segment", F.concat_ws("-", "c_nationkey", "c_mktsegment"))
+    return master.block_cost(master.blocks(keyed, "c_custkey", [master.block_keys("segment", "exact")]))
 
 
 PLANS = {
@@ -46,7 +46,7 @@ PLANS = {
     "golden_ids": (lambda s, d: cluster.golden_ids(_members(s, d)), GOLDEN + "select * from g"),
     "crosswalk": (_crosswalk, GOLDEN + "select id, golden_id from c join g using (cluster)"),
     "mdm_stats": (lambda s, d: cluster.statistics(_members(s, d)), FOURS + ", z as (select cluster, count(*) n from c group by 1) select cast(sum(n) as bigint) records, count(*) golden, count(*) filter (n > 1) merged, max(n) largest, cast(sum(n) as bigint) - count(*) duplicates_removed, max(n) > greatest(10.0, sum(n) * 0.05) over_merge_suspected from z"),
-    "block_cost": (_overview, "select cast(sum(n * (n - 1) // 2) as bigint) pairs from (select count(*) n from customer group by c_nationkey, c_mktsegment)"),
+    "block_cost": (_cost, "select cast(sum(n * (n - 1) // 2) as bigint) pairs from (select count(*) n from customer group by c_nationkey, c_mktsegment)"),
     "std_expand_abbreviations": (_address, "select p_partkey, '12 north ' || p_name || ' street limited' as value from part"),
     "std_strip_diacritics": (lambda s, d: _read(s, d, "documents").select("doc_id", tx.strip_diacritics(F.col("text")).alias("value")), "select doc_id, strip_accents(text) as value from documents"),
     "jaro_winkler": (_pairs(tx.jaro_winkler), None),

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordmill.operators import exceptions as ex
-from recordmill.operators.reconcile import Compare, Rule, fingerprint, outcome_counts, reconcile, summary
+from recordmill.operators.cluster import cut
+from recordmill.operators.reconcile import Compare, Rule, differences, fingerprint, outcome_counts, reconcile, summary
+from recordmill.operators.registry import plan_rule
+from recordmill.sources.datasets import project
 
 TOTAL = Compare("total", "cents", "cents", "number")
 STATUS = Compare("status", "status", "status")
@@ -45,7 +48,7 @@ def _sql(shift: int = 0, total="abs(b.cents - a.cents) <= 0", status=None, date=
       union all select '(missing key)', 'invalid_key', 'b', null, null, null from b0 where key = ''){extra} """
 
 
-STATUS_SQL, DATE_SQL = "a.status = b.status", "abs(floor(epoch(b.day - a.day) / 86400 + 0.5)) <= 0"
+STATUS_SQL, DATE_SQL = "lower(trim(a.status)) = lower(trim(b.status))", "abs(floor(epoch(b.day - a.day) / 86400 + 0.5)) <= 0"
 ALL_SQL = {"status": STATUS_SQL, "date": DATE_SQL}
 ALL = (TOTAL, STATUS, DATE)
 COUNTS = "select o.outcome, count(f.outcome) total from (values ('match'),('value_mismatch'),('missing_from_a'),('missing_from_b'),('duplicate'),('invalid_key')) o(outcome) left join found f using (outcome) group by o.outcome"
@@ -69,7 +72,7 @@ def _run(spark, sf_dir, shift):
 def _ledger(spark, sf_dir):
     ledger = spark.createDataFrame([], ex.SNAPSHOT)
     for run in (1, 2, 3):
-        ledger = ex.fold(ledger, _run(spark, sf_dir, run - 1), run)
+        ledger = cut(ex.fold(ledger, _run(spark, sf_dir, run - 1), run))
     return ledger
 
 
@@ -92,6 +95,43 @@ def _events(spark, sf_dir):
     return ex.fold_events(_closed(spark, sf_dir), _run(spark, sf_dir, 1), 2)
 
 
+def _text_sides(spark, sf_dir):
+    """The same sides with amounts and days as text, some of which can't be read."""
+    a, b = _sides(spark, sf_dir)
+    a = a.selectExpr("key", "cents", "k", "format_number(cast(cents as decimal(20,2)) / 100, 2) amount", "date_format(day, 'yyyy-MM-dd') day")
+    b = b.selectExpr("key", "cents", "k", "case when k % 19 = 0 then 'n/a' when k % 2 = 0 then concat(' ', cast(cents as decimal(20,2)) / 100) else format_number(cast(cents as decimal(20,2)) / 100, 2) end amount", "case when k % 17 = 0 then 'soon' when k % 2 = 0 then date_format(day, 'M/d/yyyy') else date_format(day, 'd MMM yyyy') end day")
+    return a, b
+
+
+def _text(spark, sf_dir, *fields):
+    found = reconcile(*_text_sides(spark, sf_dir), Rule("key", "key", fields, order="cents"))
+    reason = F.coalesce(F.get(F.col("details.reason"), F.lit(0)), F.lit(""))
+    return found.groupBy("outcome", reason.alias("reason")).agg(F.count("*").alias("total"))
+
+
+def _text_sql(condition: str, bad: str, reason: str) -> str:
+    return _sql(total=condition) + f"select outcome, case when outcome = 'value_mismatch' and cast(substr(business_key, 5) as bigint) % {bad} = 0 then '{reason}' else '' end reason, count(*) total from found group by all"
+
+
+def _differences(spark, sf_dir):
+    rows = differences(_found(spark, sf_dir, (TOTAL, DATE)))
+    shown = [F.when(F.col("field") == "total", F.col(c)).alias(c) for c in ("value_a", "value_b")]
+    return rows.select("business_key", "field", *shown, "difference", "reason")
+
+
+def _values(spark, sf_dir):
+    wrong = _found(spark, sf_dir).where("outcome in ('value_mismatch', 'missing_from_a', 'missing_from_b')")
+    return wrong.select("business_key", "outcome", F.col("values_a")["total"].alias("total_a"), F.col("values_b")["total"].alias("total_b"))
+
+
+def _planned(spark, sf_dir):
+    """A stored rule, planned: a legacy field, an expression with a constant, and a tolerance in percent."""
+    rule = {"key_a": "key", "key_b": "key", "duplicates": "first", "fields": [{"fieldA": "status", "fieldB": "status"}, {"label": "closed", "a": {"kind": "expression", "value": "case when status = 'F' then 'F' else 'x' end"}, "b": {"kind": "constant", "value": "F"}}, {"fieldA": "cents", "fieldB": "cents", "type": "number", "tolerance": {"type": "percent", "value": 3}}]}
+    chosen_a, chosen_b, plan = plan_rule(rule)
+    a, b = _sides(spark, sf_dir)
+    return outcome_counts(reconcile(project(a, chosen_a), project(b, chosen_b), plan))
+
+
 def _judged(spark, sf_dir):
     ledger = _closed(spark, sf_dir)
     wanted = F.when(F.col("outcome") == "duplicate", "investigating").when(F.col("outcome") == "missing_from_a", "open").otherwise("resolved")
@@ -113,6 +153,12 @@ def _delta(spark, sf_dir):
 
 
 PLANS = {
+    "recon_text_numbers": (lambda s, d: _text(s, d, Compare("amount", "amount", "amount", "number")), _text_sql("cast(substr(b.key, 5) as bigint) % 19 <> 0 and a.cents = b.cents", "19", "not_a_number")),
+    "recon_text_dates": (lambda s, d: _text(s, d, Compare("day", "day", "day", "date")), _text_sql("cast(substr(b.key, 5) as bigint) % 17 <> 0 and abs(floor(epoch(b.day - a.day) / 86400 + 0.5)) <= 0", "17", "not_a_date")),
+    "recon_differences": (_differences, _sql() + "select a.shown business_key, 'total' field, a.cents::varchar value_a, b.cents::varchar value_b, (b.cents - a.cents)::double difference, null::varchar reason from a join b on a.key = b.key where a.n = 1 and b.n = 1 and a.cents <> b.cents union all select a.shown, 'date', null, null, floor(epoch(b.day - a.day) / 86400 + 0.5), null from a join b on a.key = b.key where a.n = 1 and b.n = 1 and floor(epoch(b.day - a.day) / 86400 + 0.5) <> 0"),
+    "recon_values": (_values, _sql() + "select coalesce(a.shown, b.key) business_key, case when a.n is null then 'missing_from_a' when b.n is null then 'missing_from_b' else 'value_mismatch' end outcome, a.cents::varchar total_a, b.cents::varchar total_b from a full join b on a.key = b.key where coalesce(a.n, 0) <= 1 and coalesce(b.n, 0) <= 1 and (a.n is null or b.n is null or a.cents <> b.cents)"),
+    "recon_case_sensitive": (_counts((Compare("status", "status", "status", fold_case=False),)), _sql(total="a.status = b.status") + COUNTS),
+    "recon_planned_rule": (_planned, _sql(total="a.status = 'F' and abs(b.cents - a.cents) <= abs(a.cents) * 3.0 / 100", duplicates="first") + COUNTS),
     "recon_outcomes": (_counts(ALL), _sql(**ALL_SQL) + COUNTS),
     "recon_summary": (lambda s, d: summary(_found(s, d, ALL)), _sql(**ALL_SQL) + "select cast(sum(count_a) as bigint) keyed_a, cast(sum(count_b) as bigint) keyed_b, count(count_a) keys_compared, count(*) filter (outcome = 'match') matched, count(*) filter (outcome <> 'match') exceptions, count(*) filter (outcome <> 'match') = 0 passed from found"),
     "recon_value_mismatch_fields": (lambda s, d: _found(s, d, ALL).select(F.explode("differences").alias("field")).groupBy("field").agg(F.count("*").alias("total")), _sql(**ALL_SQL) + "select field, count(*) total from (select unnest(differences) field from found) group by field"),
@@ -123,16 +169,16 @@ PLANS = {
     "recon_tolerance_abs": (_counts((Compare("total", "cents", "cents", "number", 1),)), _sql(total="abs(b.cents - a.cents) <= 1") + COUNTS),
     "recon_tolerance_pct": (_counts((Compare("total", "cents", "cents", "number", 3, True),)), _sql(total="abs(b.cents - a.cents) <= abs(a.cents) * 3.0 / 100") + COUNTS),
     "recon_date_tolerance": (_counts((Compare("date", "day", "day", "date", 2),)), _sql(total="abs(floor(epoch(b.day - a.day) / 86400 + 0.5)) <= 2") + COUNTS),
-    "recon_constant_operand": (_counts((Compare("status", "status", "'F'"),)), _sql(total="a.status = 'F'") + COUNTS),
+    "recon_constant_operand": (_counts((Compare("status", "status", "'F'"),)), _sql(total="lower(a.status) = 'f'") + COUNTS),
     "recon_expression_operand": (_counts((Compare("status", "upper(status)", "upper(status)"),)), _sql(total="upper(a.status) = upper(b.status)") + COUNTS),
     "recon_severity_priority": (lambda s, d: _found(s, d, priority="high").where("outcome <> 'match'").groupBy("outcome", "severity").agg(F.count("*").alias("total")), _sql() + "select outcome, case when outcome = 'invalid_key' then 'low' else 'high' end severity, count(*) total from found where outcome <> 'match' group by outcome"),
     "exception_fold": (_ledger, LEDGER_SQL + " select * from l"),
     "exception_status_counts": (lambda s, d: _ledger(s, d).groupBy("status", "outcome").agg(F.count("*").alias("total")), LEDGER_SQL + " select status, outcome, count(*) total from l group by all"),
     "fold_events": (_events, _runs_sql(1, 2) + " select fingerprint, 2 run, r1.fingerprint is null is_new, case when r1.fingerprint is null then 'identified' when r1.outcome = 'duplicate' then 'reopened' else 'seen' end action, case when r1.outcome = 'duplicate' then 'resolved' when r1.outcome is not null then 'open' end from_status from r2 left join r1 using (fingerprint)"),
-    "bulk_eligibility": (_judged, _runs_sql(1) + " , q as (select fingerprint, case outcome when 'duplicate' then 'investigating' when 'missing_from_a' then 'open' else 'resolved' end to_status, case when outcome = 'missing_from_b' then '' else 'fixed' end reason, case when outcome = 'duplicate' then 'resolved' else 'open' end status from r1) select fingerprint, to_status, reason, status, case when status = 'resolved' then 'Cannot move from \"resolved\" to \"investigating\".' when to_status = 'resolved' and reason = '' then 'Closing needs a reason.' end problem from q"),
+    "bulk_eligibility": (_judged, _runs_sql(1) + " , q as (select fingerprint, case outcome when 'duplicate' then 'investigating' when 'missing_from_a' then 'open' else 'resolved' end to_status, case when outcome = 'missing_from_b' then '' else 'fixed' end reason, case when outcome = 'duplicate' then 'resolved' else 'open' end status from r1) select fingerprint, to_status, reason, status, case when status = 'resolved' then 'barred:resolved>investigating' when to_status = 'resolved' and reason = '' then 'reason_missing' end problem from q"),
     "severity_mix": (lambda s, d: _ledger(s, d).groupBy("severity").agg(F.count("*").alias("total")), LEDGER_SQL + " select severity, count(*) total from l group by all"),
     "exception_recurrence": (lambda s, d: _ledger(s, d).groupBy("occurrence_count").agg(F.count("*").alias("total")), LEDGER_SQL + " select occurrence_count, count(*) total from l group by all"),
     "run_diff_findings": (lambda s, d: _diff(s, d).groupBy("change").agg(F.count("*").alias("total")), DIFF_SQL + " select change, count(*) total from d group by change"),
     "run_outcome_delta": (_delta, _runs_sql(1, 2) + " select outcome, count(*) filter (run = 1) as before, count(*) filter (run = 2) as after, count(*) filter (run = 2) - count(*) filter (run = 1) delta from (select 1 run, * from r1 union all select 2, * from r2) group by outcome"),
-    "run_verdicts": (_verdict, DIFF_SQL + " , c as (select count(*) filter (change='introduced') introduced, count(*) filter (change='resolved') resolved, count(*) filter (change='persisting') persisting, count(*) filter (change='changed') changed from d) select *, introduced - resolved net_change, case when introduced + resolved + changed = 0 then case when persisting > 0 then 'unchanged' else 'clean' end when resolved + changed = 0 then 'worse' when introduced + changed = 0 then 'better' else 'churn' end verdict from c"),
+    "run_verdicts": (_verdict, DIFF_SQL + " , c as (select count(*) filter (change='introduced') introduced, count(*) filter (change='resolved') resolved, count(*) filter (change='persisting') persisting, count(*) filter (change='changed') changed from d) select *, introduced - resolved net_change, case when introduced + resolved + changed = 0 then case when persisting > 0 then 'unchanged' else 'clean' end when introduced > 0 and resolved = 0 then 'worse' when resolved > 0 and introduced = 0 then 'better' else 'churn' end verdict from c"),
 }

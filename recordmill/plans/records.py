@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recordmill.functions import text as tx
 from recordmill.operators import master
+from recordmill.operators.survive import Keep, survivors
 
 
 def _read(spark, sf_dir, name):
@@ -31,7 +32,7 @@ def _pairs(similarity):
     return run
 
 
-PAIRS = "with n as (select distinct p_name from part), p as (select a.p_name l, b.p_name r from n a join n b on left(a.p_name,1) = left(b.p_name,1) and a.p_name < b.p_name) "
+PAIRS = "with n as (select distinct p_name from part), p as (select a.p_name l, b.p_name r from n a join n b on a.p_name < b.p_name) "
 
 
 def _systems(spark, sf_dir):
@@ -53,9 +54,14 @@ def _blocked(s, d):
 
 
 def _golden(s, d):
-    rows = _systems(s, d)
-    out = master.survivors(rows, "digits", ["segment"], F.col("trust"), F.lit(None).cast("timestamp"), "id")
-    return out.select("digits", "member_count", "segment_trusted", "segment_frequent", "segment_values")
+    rows = _systems(s, d).withColumn("cluster", F.col("digits")).withColumn("trusted", F.col("segment")).withColumn("frequent", F.col("segment"))
+    out = survivors(rows, [Keep("trusted", "trusted", "source_priority"), Keep("frequent", "frequent", "most_frequent")], F.col("trust"), F.lit(None).cast("timestamp"))
+    values = rows.groupBy("cluster").agg(F.count_distinct("segment").alias("segment_values"))
+    return out.join(values, "cluster").select(F.col("cluster").alias("digits"), "member_count", F.col("trusted.value").alias("segment_trusted"), F.col("frequent.value").alias("segment_frequent"), "segment_values")
+
+
+#: Soundex by letters, classes and runs, as DuckDB has no such function.
+SOUNDEX = "with n as (select distinct p_name from part), x as (select p_name, regexp_replace(lower(p_name), '[^a-z]', '', 'g') x from n), y as (select p_name, x, upper(left(x, 1)) f, case when left(x, 1) in ('h', 'w') then 'a' else left(x, 1) end || replace(replace(substr(x, 2), 'h', ''), 'w', '') s from x), z as (select p_name, x, f, translate(s, 'abcdefghijklmnopqrstuvwxyz', '01230120022455012623010202') t from y), r as (select p_name, x, f, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '0+', '0', 'g'), '1+', '1', 'g'), '2+', '2', 'g'), '3+', '3', 'g'), '4+', '4', 'g'), '5+', '5', 'g'), '6+', '6', 'g') t from z) select p_name, case when x = '' then '' else rpad(left(f || replace(substr(t, 2), '0', ''), 4), 4, '0') end code from r"
 
 
 PLANS = {
@@ -65,7 +71,7 @@ PLANS = {
     "std_sort_tokens": (lambda s, d: _read(s, d, "part").select("p_partkey", tx.sort_tokens(F.col("p_name")).alias("value")), "select p_partkey, array_to_string(list_sort(list_filter(string_split(p_name, ' '), lambda x: x <> '')), ' ') as value from part"),
     "prefix_keys": (lambda s, d: _read(s, d, "part").groupBy(F.substring("p_name", 1, 4).alias("prefix")).agg(F.count("*").alias("total")), "select left(p_name, 4) prefix, count(*) total from part group by 1"),
     "ngram_keys": (lambda s, d: _read(s, d, "part").select(F.explode(tx.ngrams(F.col("p_name"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("total")), "select gram, count(*) total from (select unnest(list_distinct([substr(p_name, i, 3) for i in range(1, length(p_name) - 1)])) gram from part) group by gram"),
-    "soundex_codes": (lambda s, d: _read(s, d, "part").select("p_name").distinct().select("p_name", tx.soundex(F.col("p_name")).alias("code")), None),
+    "soundex_codes": (lambda s, d: _read(s, d, "part").select("p_name").distinct().select("p_name", tx.soundex(F.col("p_name")).alias("code")), SOUNDEX),
     "edit_similarity": (_pairs(tx.edit_similarity), PAIRS + "select l, r, round(1 - levenshtein(l, r) / greatest(length(l), length(r))::double, 6) score from p"),
     "token_jaccard": (_pairs(tx.token_jaccard), PAIRS + "select l, r, round(len(list_intersect(string_split(l,' '), string_split(r,' '))) / len(list_distinct(list_concat(string_split(l,' '), string_split(r,' '))))::double, 6) score from p"),
     "block_pairs": (lambda s, d: master.block_pairs(_blocked(s, d)), SYSTEMS + "select a.id l, b.id r from s a join s b on a.digits = b.digits and a.id < b.id"),

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 #: Rows of a side, where a limit is asked for.
 MOST_ROWS = 200_000
-# What an author's expression may not hold, and why.
-FORBIDDEN = (
-    (r";", "statement separators are not allowed"),
-    (r"--", "SQL comments are not allowed"),
-    (r"/\*|\*/", "block comments are not allowed"),
-    (r"(?i)\b(insert|update|delete|drop|alter|create|truncate|merge|exec|execute|grant|revoke|backup|shutdown|waitfor|openrowset|openquery|xp_\w+|sp_\w+)\b", "only reading expressions are allowed"),
-)
+#: Code of a problem, and the pattern of an author's expression that has it.
+FORBIDDEN = {
+    "several_statements": r";",
+    "line_comment": r"--",
+    "block_comment": r"/\*|\*/",
+    # Words of statements that change something or reach outside.
+    "changes_data": r"(?i)\b(insert|update|delete|drop|alter|create|truncate|merge|exec|execute|grant|revoke|backup|shutdown|waitfor|openrowset|openquery|xp_\w+|sp_\w+)\b",
+}
+LONGEST = 1000
 
 
 @dataclass(frozen=True)
@@ -45,30 +47,28 @@ def quote(name: str) -> str:
 
 
 def expression_problem(text: str | None) -> str | None:
-    """Why an author's expression is refused, or None."""
+    """The code of what is wrong with an author's expression (empty, too_long, unbalanced or one of ``FORBIDDEN``), or None."""
     text = (text or "").strip()
-    if not text:
-        return "The expression is empty."
-    if len(text) > 1000:
-        return "The expression is too long (limit 1000 characters)."
-    for pattern, why in FORBIDDEN:
+    if not text or len(text) > LONGEST:
+        return "too_long" if text else "empty"
+    for code, pattern in FORBIDDEN.items():
         if re.search(pattern, text):
-            return f"Cannot use this expression: {why}."
+            return code
     closed = re.sub(r"[^()]", "", text)
     while "()" in closed:
         closed = closed.replace("()", "")
-    return "The expression has unbalanced parentheses." if closed else None
+    return "unbalanced" if closed else None
 
 
 def project(df: DataFrame, selections: list[Selection], limit: int | None = None) -> DataFrame:
     """Only the selected columns and expressions; a positive ``limit`` holds, up to MOST_ROWS."""
     if not selections:
-        raise ValueError("No columns selected to read.")
+        raise ValueError("nothing is selected")
     out = []
     for s in selections:
         if s.kind == "expression":
             if problem := expression_problem(s.value):
-                raise ValueError(problem)
+                raise ValueError(f"bad expression: {problem}")
             out.append(F.expr(f"({s.value.strip()})").alias(s.alias or s.value))
         else:
             out.append(F.col(quote(s.value)).alias(s.alias or s.value))
@@ -76,10 +76,25 @@ def project(df: DataFrame, selections: list[Selection], limit: int | None = None
     return df.limit(min(limit, MOST_ROWS)) if limit and limit > 0 else df
 
 
-def read(spark: SparkSession, source: Source, dataset: str) -> DataFrame:
-    """A dataset, lazily: projections and filters reach its scan or its database."""
+@dataclass(frozen=True)
+class Split:
+    """How a database's table is read in parallel: a numeric, date or time column, its range and the number of parts."""
+
+    column: str
+    lower: str
+    upper: str
+    parts: int = 8
+
+    def options(self) -> dict[str, str]:
+        return {"partitionColumn": quote(self.column).strip("`"), "lowerBound": str(self.lower), "upperBound": str(self.upper), "numPartitions": str(max(1, self.parts))}
+
+
+def read(spark: SparkSession, source: Source, dataset: str, split: Split | None = None) -> DataFrame:
+    """A dataset, lazily: projections and filters reach its scan or its database, which ``split`` reads in parallel."""
     reader = spark.read.format(source.kind).options(**source.options)
     if source.kind == "jdbc":
+        if split is not None:
+            reader = reader.options(**split.options())
         return reader.option("url", source.base).option("dbtable", ".".join(f'"{x.strip("`")}"' for x in quote(dataset).split("."))).load()
     return reader.load(f"{source.base.rstrip('/')}/{dataset}")
 
@@ -110,6 +125,32 @@ def shape_schema(rows: DataFrame) -> DataFrame:
     return grouped.select("name", "kind", F.transform(F.array_sort("f"), lambda x: F.struct(x["name"], x["data_type"], x["nullable"])).alias("fields"))
 
 
+# The column type that a database gives each Spark type when rows are published.
+COLUMN_TYPES = {"boolean": "BIT", "double": "FLOAT", "float": "FLOAT", "byte": "FLOAT", "short": "FLOAT", "integer": "FLOAT", "long": "FLOAT", "decimal": "FLOAT", "timestamp": "DATETIME2", "timestamp_ntz": "DATETIME2", "date": "DATETIME2"}
+
+
+def parameter_types(df: DataFrame) -> dict[str, str]:
+    """The type that each column is written as; nulls and what isn't a number, flag or time as text."""
+    return {f.name: COLUMN_TYPES.get(f.dataType.typeName(), "NVARCHAR") for f in df.schema}
+
+
+def batch_rows(columns: int, asked: int | None = None) -> int:
+    """Rows of one insert: a statement takes 2,000 parameters, and ``asked`` can only lower it."""
+    most = max(1, 2000 // max(1, columns))
+    return max(1, min(asked, most)) if asked else most
+
+
+def create_statement(dataset: str, columns: list[str]) -> str:
+    """A guarded statement that makes a table of nullable text columns."""
+    name = ".".join(f'"{x.strip("`")}"' for x in quote(dataset).split("."))
+    return f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(f'"{quote(c).strip("`")}" VARCHAR(4000)' for c in columns)})"
+
+
+def run_statements(spark: SparkSession, statements: list[str]) -> list[DataFrame]:
+    """Run statements in order and stop at the first that fails; the results of those that return rows."""
+    return [df for s in statements if (df := spark.sql(s)).columns]
+
+
 def write(df: DataFrame, source: Source, dataset: str, mode: str = "append", text_only: bool = False, batch: int | None = None) -> None:
     """``replace`` or ``append``. Nothing is appended for no rows. ``text_only`` writes every column as text."""
     if not source.writable:
@@ -124,6 +165,5 @@ def write(df: DataFrame, source: Source, dataset: str, mode: str = "append", tex
     if source.kind != "jdbc":
         writer.save(f"{source.base.rstrip('/')}/{dataset}")
         return
-    rows = max(1, 2000 // max(1, len(df.columns)))  # a statement takes 2,000 parameters
     table = ".".join(f'"{x.strip("`")}"' for x in quote(dataset).split("."))
-    writer.option("url", source.base).option("dbtable", table).option("truncate", "true").option("batchsize", min(batch, rows) if batch else rows).save()
+    writer.option("url", source.base).option("dbtable", table).option("truncate", "true").option("batchsize", batch_rows(len(df.columns), batch)).save()

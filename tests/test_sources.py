@@ -46,7 +46,7 @@ def test_changes_of_the_ledger(spark):
     after, events, skipped = ex.change(ledger, spark.createDataFrame(asks, "fingerprint string, owner string, severity string, to_status string, comment string, reason string"))
     assert {r.fingerprint: (r.status, r.severity, r.owner, r.reason) for r in after.collect()} == {"a": ("resolved", "high", "bob", "fixed"), "b": ("resolved", "medium", "ann", None), "c": ("open", "medium", None, None), "d": ("open", "medium", "ann", None)}
     assert sorted((r.fingerprint, r.action) for r in events.collect()) == [("a", "assigned"), ("a", "severity-change"), ("a", "status-change"), ("c", "assigned"), ("c", "comment")]
-    assert {r.fingerprint: r.problem for r in skipped.collect()} == {"b": 'Cannot move from "resolved" to "accepted".', "d": "Closing needs a reason.", "z": "No longer exists."}
+    assert {r.fingerprint: r.problem for r in skipped.collect()} == {"b": "barred:resolved>accepted", "d": "reason_missing", "z": "unknown"}
     folded = ex.fold(ledger, spark.createDataFrame([("b", "duplicate", "medium")], "fingerprint string, outcome string, severity string"), 2)
     assert {r.fingerprint: (r.status, r.owner) for r in folded.collect()}["b"] == ("open", "ann")
 
