@@ -26,6 +26,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def fresh(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, with underscores behind them where ``taken`` has such a name."""
+    names, out = {n.lower() for n in taken}, []
+    for w in wanted:
+        while w.lower() in names:
+            w += "_"
+        out.append(w)
+    return out
+
+
 _OWN: list[str] = []
 
 
@@ -40,13 +50,43 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage and survives lost executors.
+
+    The table stays until ``discard`` or ``clean`` removes it.
+    """
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/recordmill/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _STAGED.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _STAGED.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables whose dependants are all staged themselves."""
+    for t in tables:
+        if getattr(t, "staged_at", None) in _STAGED:
+            _remove(t.sparkSession, t.staged_at)
+
+
+def clean(spark: SparkSession) -> int:
+    """Remove every table that this driver has staged, once the results that read them are written; says how many."""
+    count = len(_STAGED)
+    for path in list(_STAGED):
+        _remove(spark, path)
+    return count
 
 
 def fold(column: str, modulus: int):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -23,16 +23,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         point = staged(left.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("c")), f"{name}-point")
         while True:
             up = point.select(F.col("v").alias("c"), F.col("c").alias("up"))
-            jumped = staged(point.join(up, "c", "left").select("v", F.coalesce("up", "c").alias("c"), F.col("up").isNotNull().alias("moved")), f"{name}-jump")
-            point = jumped.select("v", "c")
+            jumped = staged(point.select("v", "c").join(up, "c", "left").select("v", F.coalesce("up", "c").alias("c"), F.col("up").isNotNull().alias("moved")), f"{name}-jump")
+            discard(point)
+            point = jumped
             if jumped.where("moved").isEmpty():
                 break
         new = point.select(F.col("v").alias("c"), F.col("c").alias("up"))
-        labels = staged(labels.join(new, "c", "left").select("v", F.coalesce("up", "c").alias("c")).unionByName(point), f"{name}-labels")
+        old, labels = labels, staged(labels.join(new, "c", "left").select("v", F.coalesce("up", "c").alias("c")).unionByName(point.select("v", "c")), f"{name}-labels")
         pa, pb = point.select(F.col("v").alias("a"), F.col("c").alias("ra")), point.select(F.col("v").alias("b"), F.col("c").alias("rb"))
         joined = left.join(pa, "a", "left").join(pb, "b", "left")
         moved = joined.select(*ends(F.coalesce("ra", "a"), F.coalesce("rb", "b"))).where("a <> b").distinct()
-        left = staged(moved, f"{name}-edges")
+        last, left = left, staged(moved, f"{name}-edges")
+        discard(old, last, point)
     return labels
 
 
