@@ -3,12 +3,18 @@
 Token counts are summed in cells of source, language and topic. Raking scales the cells to each target marginal in
 turn, ``rounds`` times; a cell's factor is its raked share over its share, and a document stays with probability
 factor * min(``keep``, 1 / largest factor), decided by the MD5 digest of its id, so that repeated rows share their fate.
-No cell's probability is cut at 1, so the sample's expected shares are the raked ones. Targets not
-given are the corpus' own marginals raised to ``temper`` and normalised: large groups give way to small ones.
-
-Tokens are estimated as a quarter of the characters, at least one. Null source and language form a group of their own;
-null text has one token and topic ``prose``; a null id counts as an empty one. An empty table gives no rows. Only cells
-and marginals are aggregated, and those partially before the shuffle, so a hot source needs no further care.
+No cell's probability is cut at 1, so the sample's expected shares are the raked ones.
+
+Targets not given are the corpus' own marginals raised to ``temper`` and normalised: large groups give way to small
+ones. A target table may leave groups out: they divide what the listed ones leave of 1 in the proportions of their
+tempered sizes, and nothing if nothing is left, so their documents get probability 0 but stay in ``mixed``. Listed
+groups that no document has are ignored and the rest is normalised; repeated groups add up.
+
+Tokens are estimated as a quarter of the characters, at least one. Null source and language form a group of their own,
+``(none)``; null text has one token and topic ``prose``; a null id counts as an empty one. An empty table gives no
+rows. Extra columns pass through; where one has a name that is needed here, the new column's name gets underscores
+behind it. Only cells and marginals are aggregated, and those partially before the shuffle, so a hot source needs no
+further care.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh, staged
 
 DIMS = ("source", "lang", "topic")
 #: Topics by the first text found; the rest is prose.
@@ -32,14 +38,38 @@ def topic(text: Column) -> Column:
     return chain.otherwise("prose")
 
 
-def with_cells(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        *docs.columns,
-        *[F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(f"__{c}") for c in ("source", "lang")],
-        topic(text).alias("__topic"),
-        F.greatest(F.lit(1), F.ceil(F.length(text) / 4)).cast("long").alias("__tokens"),
-    )
+#: Shares that the query asks for; languages that aren't listed divide the rest.
+TARGETS = {"lang": {"en": 0.4, "de": 0.2, "fr": 0.15}}
+
+
+def names(docs: DataFrame) -> list[str]:
+    """Names of the columns that ``mixed`` adds: topic, tokens, probability and whether the row is kept."""
+    return fresh(docs.columns, "__topic", "__tokens", "__keep", "__kept")
+
+
+def with_cells(docs: DataFrame, cell: str) -> DataFrame:
+    """``docs`` with the struct ``cell``: source, lang, topic and tokens."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    groups = [F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(c) for c in ("source", "lang")]
+    tokens = F.greatest(F.lit(1), F.ceil(F.length(text) / 4)).cast("long").alias("tokens")
+    return docs.select("*", F.struct(*groups, topic(text).alias("topic"), tokens).alias(cell))
+
+
+def aims(cells: DataFrame, d: str, wanted: DataFrame | None, temper: float) -> DataFrame:
+    """(``d``, aim) of every group of ``cells``; the aims add up to 1."""
+    own = cells.groupBy(d).agg(F.sum("tokens").alias("t")).withColumn("p", F.pow(F.col("t").cast("double"), F.lit(temper)))
+    if wanted is None:
+        own = own.withColumn("share", F.lit(None).cast("double"))
+    else:
+        own = own.join(wanted.groupBy(F.col(d).cast("string").alias(d)).agg(F.sum(F.greatest(F.lit(0.0), F.col("share").cast("double"))).alias("share")), d, "left")
+    listed, rest = F.coalesce(F.sum("share"), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("share").isNull(), F.col("p"))), F.lit(0.0))
+    sums = F.broadcast(own.agg(listed.alias("listed"), rest.alias("rest"), F.sum("p").alias("all")))  # one row
+    left = F.greatest(F.lit(0.0), 1 - F.col("listed"))
+    free = F.when(F.col("rest") > 0, left * F.col("p") / F.expr("nullif(rest, 0)")).otherwise(0.0)
+    raw = own.crossJoin(sums).select(d, "p", "all", F.coalesce("share", free).alias("x"))
+    total = F.broadcast(raw.agg(F.sum("x").alias("sum")))  # one row
+    aim = F.when(F.col("sum") > 0, F.col("x") / F.expr("nullif(sum, 0)")).otherwise(F.col("p") / F.col("all"))
+    return raw.crossJoin(total).select(d, aim.alias(f"aim_{d}"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = 8, temper: dict[str, float] | None = None) -> DataFrame:
@@ -47,17 +77,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
     total = cells.agg(F.sum("tokens").alias("total"))
     now = staged(cells.crossJoin(F.broadcast(total)).withColumn("w", F.col("tokens") / F.col("total")), "mix-cells")  # total is one row
     for d in DIMS:
-        if targets and d in targets:
-            aim = targets[d].select(d, F.col("share").alias(f"aim_{d}"))
-        else:
-            own = now.groupBy(d).agg(F.sum("tokens").alias("t")).withColumn("p", F.pow(F.col("t").cast("double"), F.lit((temper or TEMPER)[d])))
-            norm = own.agg(F.sum("p").alias("all"))  # one row
-            aim = own.crossJoin(F.broadcast(norm)).select(d, (F.col("p") / F.col("all")).alias(f"aim_{d}"))
-        now = now.join(aim, d)
+        now = now.join(aims(now, d, (targets or {}).get(d), (temper or TEMPER)[d]), d)
     now = staged(now, "mix-aims")
     for _ in range(rounds):
         for d in DIMS:  # a group holds cells, as many as the other dimensions have combinations, never documents
-            now = now.withColumn("w", F.col("w") * F.col(f"aim_{d}") / F.sum("w").over(W.partitionBy(d)))
+            scaled = F.col("w") * F.col(f"aim_{d}") / F.nullif(F.sum("w").over(W.partitionBy(d)), F.lit(0.0))
+            now = now.withColumn("w", F.coalesce(scaled, F.lit(0.0)))
         now = staged(now, "mix-cells")
     return now.select(*DIMS, "tokens", "w", (F.col("w") * F.col("total") / F.col("tokens")).alias("factor"))
 
@@ -69,26 +94,32 @@ def uniform(id_: Column) -> Column:
 
 
 def mixed(docs: DataFrame, keep: float = 0.8, targets: dict[str, DataFrame] | None = None, rounds: int = 8) -> DataFrame:
-    """Every row of ``docs`` with ``__tokens``, ``__keep`` (probability) and ``__kept``."""
-    rows = with_cells(docs)
-    cells = rows.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMS]).agg(F.sum("__tokens").alias("tokens"))
+    """Every row of ``docs`` with the columns of ``names``: topic, tokens, probability and whether it is kept."""
+    topic_, tokens, chance_, kept = names(docs)
+    cell, = fresh([*docs.columns, topic_, tokens, chance_, kept], "__cell")
+    rows = with_cells(docs, cell)
+    cells = rows.groupBy(*[F.col(f"{cell}.{d}").alias(d) for d in DIMS]).agg(F.sum(f"{cell}.tokens").alias("tokens"))
     raked = rake(cells, targets, rounds)
     most = raked.agg(F.max("factor").alias("most"))  # one row
     scaled = F.least(F.lit(1.0), F.col("factor") * F.least(F.lit(keep), 1 / F.col("most")))  # least: rounding only
-    chance = raked.crossJoin(F.broadcast(most)).select(*[F.col(d).alias(f"__{d}") for d in DIMS], scaled.alias("__keep"))
-    joined = rows.join(chance, [f"__{d}" for d in DIMS])
-    return joined.select(*docs.columns, "__topic", "__tokens", "__keep", (uniform(F.col("doc_id")) < F.col("__keep")).alias("__kept"))
+    chance = raked.crossJoin(F.broadcast(most)).select(F.struct(*DIMS).alias("cell"), scaled.alias("chance"))
+    joined = rows.join(chance, F.struct(*[F.col(f"{cell}.{d}") for d in DIMS]) == chance["cell"])
+    u = uniform(docs["doc_id"])
+    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], F.col(f"{cell}.topic").alias(topic_), F.col(f"{cell}.tokens").alias(tokens), chance["chance"].alias(chance_), (u < chance["chance"]).alias(kept))
 
 
-def mix_digest(docs: DataFrame) -> DataFrame:
-    """op8: per row its topic, tokens, probability (six decimals) and whether it is sampled."""
+def mix_digest(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """op8: per row its topic, tokens, probability (six decimals) and whether it is sampled, under the shares of ``TARGETS``."""
     own = docs.select("doc_id", "text", "lang", "source")
-    return mixed(own).select("doc_id", F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.round("__keep", 6).alias("probability"), F.col("__kept").alias("sampled"))
+    spark = docs.sparkSession
+    targets = {d: spark.createDataFrame(list(x.items()), f"{d} string, share double") for d, x in (TARGETS if shares is None else shares).items()}
+    return mixed(own, targets=targets).select("doc_id", F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.round("__keep", 6).alias("probability"), F.col("__kept").alias("sampled"))
 
 
 def sample_mix(docs: DataFrame) -> DataFrame:
-    """Stage: the sampled rows with their columns."""
-    return mixed(docs).where("__kept").select(*docs.columns)
+    """Stage: the sampled rows with their columns; all targets are the tempered marginals."""
+    *_, kept = names(docs)
+    return mixed(docs).where(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle(rounds: int = 8, keep: float = 0.8) -> str:
@@ -99,12 +130,16 @@ def oracle(rounds: int = 8, keep: float = 0.8) -> str:
         "c0 as materialized (select source, lang, topic, sum(tokens) tokens, sum(tokens)/(select sum(tokens) from d)::double w from d group by all)",
     ]
     for x in DIMS:
-        steps.append(f"a_{x} as materialized (select {x}, p/sum(p) over () aim from (select {x}, pow(sum(tokens)::double, {TEMPER[x]}) p from c0 group by all))")
+        wanted = " union all ".join(f"select '{g}' g, {v}::double share" for g, v in TARGETS.get(x, {}).items()) or "select null::varchar g, null::double share where false"
+        steps.append(f"o_{x} as materialized (select {x}, pow(sum(tokens)::double, {TEMPER[x]}) p, max(t.share) share from c0 left join ({wanted}) t on t.g = c0.{x} group by {x})")
+        steps.append(f"x_{x} as materialized (select {x}, coalesce(share, greatest(0, 1 - coalesce(sum(share) over (), 0)) * p / sum(case when share is null then p end) over ()) x from o_{x})")
+        steps.append(f"a_{x} as materialized (select {x}, x/sum(x) over () aim from x_{x})")
     n = 0
     for _ in range(rounds):
         for x in DIMS:
             steps.append(f"c{n + 1} as materialized (select source, lang, topic, tokens, w*aim/sum(w) over (partition by {x}) w from c{n} join a_{x} using ({x}))")
             n += 1
-    steps.append(f"f as materialized (select source, lang, topic, least(1.0, {keep}*w*(select sum(tokens) from c{n})/tokens) p from c{n})")
+    steps.append(f"r as materialized (select source, lang, topic, w*(select sum(tokens) from c{n})/tokens r from c{n})")
+    steps.append(f"f as materialized (select source, lang, topic, least(1.0, r*least({keep}, 1/(select max(r) from r))) p from r)")
     u = "('0x' || substr(md5(coalesce(doc_id::varchar,'')),1,13))::bigint / 4503599627370496.0"
     return "with " + ", ".join(steps) + f" select doc_id, topic, tokens, round(p, 6) probability, {u} < p as sampled from d join f using (source, lang, topic)"
