@@ -30,63 +30,66 @@ KINDS = [*BASE, *WEAK]
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "account": "identifier", "opaque": "secret", "endpoint": "endpoint"}
 #: Cheap necessary conditions, so that most texts skip the extraction.
 HINT = {"assign": r"(?i)(?:passw|secret|token|api_?key)", "account": r"(?i)(?:user|login|client_?id|account)", "endpoint": "://"}
-SPAN = "array<struct<s:int,k:int,e:int>>"
+PIECES = "array<struct<k:int,p:int,m:int,ok:boolean>>"
 
 
-def _spans(text: Column, kind: str) -> Column:
-    """Spans of one kind, from the lengths of the pieces between matches and of the matches themselves."""
+def _pieces(text: Column, kind: str) -> Column:
+    """One entry for each match of a kind: the lengths of the text before it and of itself, and whether it is long enough."""
     pattern, least, group = (BASE | WEAK)[kind]
-    number = KINDS.index(kind)
-    pieces = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sizes = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    parts = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m"), sizes.alias("g"))
-    empty = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("s"), F.lit(number).alias("k"), end.alias("e"))
-        return F.struct(end.alias("at"), F.when(F.length(x["g"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    spans = F.aggregate(parts, empty, step, lambda acc: acc["out"])
+    parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("p"), found.alias("m"), sizes.alias("g"))
+    number = F.lit(KINDS.index(kind)).alias("k")
+    made = F.transform(parts, lambda x: F.struct(number, F.length(x["p"]).alias("p"), F.length(x["m"]).alias("m"), (F.length(x["g"]) >= least).alias("ok")))
     hint = text.contains(HINT[kind]) if kind == "endpoint" else text.rlike(HINT.get(kind, pattern))
-    return F.when(hint, spans).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    return F.when(hint, made).otherwise(F.expr(f"cast(array() as {PIECES})"))
 
 
 def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, a row number of its own and ``parts`` (start, kind number, end), in code points."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.col(id_col).alias("doc_id"), text.alias("__t"))
-    found = own.select("doc_id", F.flatten(F.array(*[_spans(F.col("__t"), k) for k in KINDS])).alias("parts"))
-    return found.withColumn("__row", F.monotonically_increasing_id())
+    """Id, ``row`` (a number of the row's own), s, k (kind number) and e of every part, in code points; a row without any has one with nulls.
+
+    Starts are running sums over a kind's matches, so a text with many parts costs no more for each.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
+    found = own.select("doc_id", F.flatten(F.array(*[_pieces(F.col("t"), k) for k in KINDS])).alias("parts")).withColumn("row", F.monotonically_increasing_id())
+    flat = found.select("doc_id", "row", F.posexplode_outer("parts").alias("i", "x")).repartition("row")
+    # The matches of a kind lie side by side in the array, in the text's order.
+    before = W.partitionBy("row", "x.k").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ends = flat.select("doc_id", "row", F.col("x.k").alias("k"), "x.m", "x.ok", F.sum(F.col("x.p") + F.col("x.m")).over(before).cast("int").alias("e"))
+    return ends.select("doc_id", "row", (F.col("e") - F.col("m")).alias("s"), "k", "e", F.coalesce("ok", F.lit(False)).alias("ok"))
 
 
 def link_parts(found: DataFrame, scope: int = 200) -> DataFrame:
-    """One row per row of ``found``: id, ``base`` and ``spans`` (sorted arrays); weak parts only where linked."""
-    rows = found.select("doc_id", "__row", F.explode_outer("parts").alias("p")).select("doc_id", "__row", "p.s", "p.k", "p.e")
-    ahead = W.partitionBy("__row").orderBy("s", "k", "e").rowsBetween(W.unboundedPreceding, -1)
-    behind = W.partitionBy("__row").orderBy("s", "k", "e").rowsBetween(1, W.unboundedFollowing)
+    """One row per row that was searched: id, ``base`` and ``spans`` (sorted arrays); weak parts only where linked.
+
+    Both sides of a part are seen by frames that begin at an end of the text, so each part costs the same.
+    """
+    rows = found.withColumn("k", F.when(F.col("ok"), F.col("k")))
+    ahead = W.partitionBy("row").orderBy("s", "k", "e").rowsBetween(W.unboundedPreceding, -1)
+    behind = W.partitionBy("row").orderBy(F.desc("s"), F.desc("k"), F.desc("e")).rowsBetween(W.unboundedPreceding, -1)
     strong = F.col("k") < len(BASE)
-    role = F.element_at(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.col("k") + 1)
+    role = F.lit(None).cast("string")
+    for number, kind in enumerate(KINDS):
+        role = F.when(F.col("k") == number, ROLE[kind]).otherwise(role)
+    rows = rows.withColumn("role", role)
+    roles = ("identifier", "secret", "endpoint")
+    chosen = {f"any_{r}": F.col("role") == r for r in roles} | {f"strong_{r}": strong & (F.col("role") == r) for r in roles}
+    rows = rows.select("*", *[F.max(F.when(c, F.col("e"))).over(ahead).alias(f"before_{n}") for n, c in chosen.items()])
+    rows = rows.select("*", *[F.min(F.when(c, F.col("s"))).over(behind).alias(f"after_{n}") for n, c in chosen.items()])
 
-    def near(chosen: Column) -> Column:
-        before = F.max(F.when(chosen, F.col("e"))).over(ahead)
-        after = F.min(F.when(chosen, F.col("s"))).over(behind)
-        return F.coalesce(F.col("s") - before <= scope, F.lit(False)) | F.coalesce(after - F.col("e") <= scope, F.lit(False))
+    def near(name: str) -> Column:
+        return F.coalesce(F.col("s") - F.col(f"before_{name}") <= scope, F.lit(False)) | F.coalesce(F.col(f"after_{name}") - F.col("e") <= scope, F.lit(False))
 
-    rows = rows.withColumn("role", role)
-    for name in ("identifier", "secret", "endpoint"):
-        rows = rows.withColumn(f"any_{name}", near(F.col("role") == name)).withColumn(f"strong_{name}", near(strong & (F.col("role") == name)))
-    others = {r: [x for x in ("identifier", "secret", "endpoint") if x != r] for r in ("identifier", "secret", "endpoint")}
+    others = {r: [x for x in roles if x != r] for r in roles}
     linked = F.lit(False)
     for r, (a, b) in others.items():
-        linked = linked | ((F.col("role") == r) & (F.col(f"strong_{a}") | F.col(f"strong_{b}") | (F.col(f"any_{a}") & F.col(f"any_{b}"))))
+        linked = linked | ((F.col("role") == r) & (near(f"strong_{a}") | near(f"strong_{b}") | (near(f"any_{a}") & near(f"any_{b}"))))
     span = F.struct("s", "k", "e")
-    return rows.groupBy("__row").agg(
+    return rows.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.array_sort(F.collect_list(F.when(strong, span))).alias("base"),
-        F.array_sort(F.collect_list(F.when(strong | linked, span))).alias("spans"),
+        F.array_sort(F.collect_list(F.when(F.col("k").isNotNull() & (strong | linked), span))).alias("spans"),
     )
 
 
