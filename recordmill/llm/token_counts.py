@@ -1,14 +1,20 @@
 """Token counts under a unigram model, by dynamic programming over a trie of distinct pre-tokens.
 
-The forward score of a prefix (best total score, then fewest tokens) depends on that prefix alone, so it is computed
-once per trie node. Distinct pre-tokens are visited in sorted order, which is a depth-first walk of their trie with the
-current path as the stack; the token count at a terminal node is the pre-token's. Vocabulary and scores come from a
-public tokenizer file; nothing is trained. Memory is bounded by one Arrow batch of rows.
+The forward score of a prefix (best total score, then fewest tokens) depends on that prefix alone. Distinct pre-tokens
+are inserted in a trie, a prefix is scored when its node is made, and the token count at a terminal node is the
+pre-token's. A task keeps its trie from batch to batch and starts a new one beyond ``MOST_NODES`` nodes, which bounds
+its memory.
+
+Nothing is trained. The public vocabulary file lists its pieces by merge rank and has no probabilities, so a piece of
+rank r gets the unigram log-probability -log(r) - log(H), by Zipf's law, H being the sum of 1/r over the vocabulary; they
+add up to 1. Counts are therefore those of a unigram model over this vocabulary, not of the file's own merges.
 
 Pre-tokens are runs between white space, written with U+2581 before them. A character outside the vocabulary counts as
-one token per UTF-8 byte. Null or empty text has none. Ids pass through; other columns are ignored.
+one token per UTF-8 byte, each ``UNKNOWN`` below the least likely piece. Null or empty text has none. Repeated rows get
+equal counts; ids pass through, nulls too; other columns are ignored; an empty table gives no rows.
 """
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "▁"
+UNKNOWN = 10.0
+MOST_NODES = 1_000_000
 
 
 def default_vocabulary() -> str:
@@ -25,57 +33,69 @@ def default_vocabulary() -> str:
 
 
 def load_scores(path: str | None = None) -> dict[str, float]:
-    """Piece to score; a fixed file, so its size is bounded."""
+    """Piece to unigram log-probability; a fixed file, so its size is bounded."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path or default_vocabulary())
-    return {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    pieces = [(-sp.get_score(i), i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+    norm = math.log(math.fsum(1 / r for r in range(1, len(pieces) + 1)))
+    return {sp.id_to_piece(i): -math.log(r) - norm for r, (_, i) in enumerate(sorted(pieces), 1)}
+
+
+class Trie:
+    """Prefixes with their best score and its number of tokens; node 0 is the empty prefix."""
+
+    def __init__(self, scores: dict[str, float], longest: int, unknown: float):
+        self.scores, self.longest, self.unknown = scores, longest, unknown
+        self.children: list[dict[str, int]] = [{}]
+        self.best, self.count = [0.0], [0]
+
+    def insert(self, word: str) -> int:
+        """The token count of ``word``; only prefixes that no earlier word has are scored."""
+        path, get = [0], self.scores.get
+        for end, letter in enumerate(word, 1):
+            node = self.children[path[-1]].get(letter)
+            if node is None:
+                n = len(letter.encode("utf-8", "surrogatepass"))
+                top, fewest = self.best[path[-1]] + self.unknown * n, self.count[path[-1]] + n
+                for start in range(max(0, end - self.longest), end):
+                    s = get(word[start:end])
+                    if s is not None:
+                        value, k = self.best[path[start]] + s, self.count[path[start]] + 1
+                        if value > top or (value == top and k < fewest):
+                            top, fewest = value, k
+                node = self.children[path[-1]][letter] = len(self.best)
+                self.children.append({})
+                self.best.append(top)
+                self.count.append(fewest)
+            path.append(node)
+        return self.count[path[-1]]
 
 
 def count_words(words: list[str], scores: dict[str, float], longest: int, unknown: float) -> dict[str, int]:
-    """Terminal counts of distinct words: one forward step per distinct prefix."""
-    out: dict[str, int] = {}
-    best, count, last = [0.0], [0], ""
-    get = scores.get
-    for word in sorted(words):
-        shared, most = 0, min(len(last), len(word))
-        while shared < most and last[shared] == word[shared]:
-            shared += 1
-        del best[shared + 1 :], count[shared + 1 :]
-        for end in range(shared + 1, len(word) + 1):
-            n = len(word[end - 1].encode("utf-8", "surrogatepass"))
-            top, fewest = best[end - 1] + unknown * n, count[end - 1] + n
-            for start in range(max(0, end - longest), end):
-                s = get(word[start:end])
-                if s is not None:
-                    value, k = best[start] + s, count[start] + 1
-                    if value > top or (value == top and k < fewest):
-                        top, fewest = value, k
-            best.append(top)
-            count.append(fewest)
-        out[word] = count[-1]
-        last = word
-    return out
+    """Terminal counts of distinct words."""
+    trie = Trie(scores, longest, unknown)
+    return {w: trie.insert(w) for w in words}
 
 
 def token_counts(spark: SparkSession, docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``n_pretokens`` and ``n_tokens`` per row."""
     scores = load_scores(path)
     longest = max(map(len, scores), default=1)
-    unknown = min(scores.values(), default=0.0) - 10.0
+    unknown = min(scores.values(), default=0.0) - UNKNOWN
     shared = spark.sparkContext.broadcast((scores, longest, unknown))  # the vocabulary: tens of thousands of pieces
 
     @F.pandas_udf("n_pretokens long, n_tokens long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table, most, other = shared.value
-        known: dict[str, int] = {}
+        trie, known = Trie(*shared.value), {}
         for texts in batches:
+            if len(trie.best) > MOST_NODES:
+                trie, known = Trie(*shared.value), {}
             split = [t.split() for t in texts.fillna("")]
-            new = {w for words in split for w in words if w not in known}
-            if len(known) + len(new) > 200_000:
-                known = {}
-                new = {w for words in split for w in words}
-            known |= {w[1:]: n for w, n in count_words([SPACE + w for w in new], table, most, other).items()}
+            for words in split:
+                for w in words:
+                    if w not in known:
+                        known[w] = trie.insert(SPACE + w)
             get = known.__getitem__
             yield pd.DataFrame({"n_pretokens": [len(w) for w in split], "n_tokens": [sum(map(get, w)) for w in split]})
 
