@@ -4,12 +4,14 @@ Suffixes travel as runs. Each ``SPAN``-byte window is filed under its least ``GR
 neighbouring windows with the same least gram form one run, so equal windows always meet under one gram and the runs
 hold a few bytes for each window instead of ``SPAN``. Grams that occur in one run only can't hold a repeat and go first.
 The rest are range-partitioned by the gram's leading bytes with sampled splitters (Spark's range partitioner), a digest
-of the run splitting hot grams over neighbouring buckets. A bucket drops repeated runs, sorts the suffixes of the others
+of the run splitting hot grams over neighbouring buckets. Runs that a sample finds very often are first reduced to one
+occurrence each, by partial aggregation, so that copies without number never meet in one bucket. A bucket drops repeated runs, sorts the suffixes of the others
 by multikey quicksort, eight bytes at a time on the still equal parts, and keeps the first of each equal group. Where a
 leading key may go on in the next bucket, the bucket's first occurrences are compared across the boundary.
 
-Order is by doc_id (nulls last), then position; strings are judged on the input. Null text counts as empty. Rows that
-share an id count as one document at equal positions. Matches never cross documents. Other columns are ignored.
+Order is by doc_id (nulls last, by a hash of their texts), then position; strings are judged on the input. Null text
+counts as empty. Rows that share an id count as one document at equal positions, and so do rows without id that share
+their text. Matches never cross documents. Other columns are ignored. An empty table gives no rows.
 """
 
 import hashlib
@@ -27,6 +29,8 @@ SPAN, GRAM = 100, 24
 WIDTH = SPAN - GRAM + 1  # grams of a window
 SLICE = 1 << 19  # windows that are looked at together
 BUCKET_BYTES = 8 << 20
+#: One run in so many is looked at to find hot runs, and how often one must be seen to count as hot.
+LOOK, HOT = 16, 16
 LAST = (1 << 63) - 1
 _B = [pow(int(BASE), 1 << i, 1 << 64) for i in range(5)]
 
@@ -214,13 +218,21 @@ def repeated_spans(rows: DataFrame, own: DataFrame) -> DataFrame:
     carried = staged(carried, "suffix-runs")
     size = carried.agg(F.sum(F.length("run")).alias("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    seen = carried.where(F.pmod(F.xxhash64("id", "at"), F.lit(LOOK)) == 0).groupBy(F.xxhash64("run").alias("h")).agg(F.count("*").alias("n"))
+    hot = staged(seen.where(F.col("n") >= HOT).select("h"), "suffix-hot")  # at most one in LOOK * HOT of the runs; its size decides whether it is broadcast
+    marked = carried.join(hot, F.xxhash64("run") == hot["h"], "left")
+    often = staged(marked.where("h is not null").drop("h"), "suffix-often")
+    firsts = staged(often.groupBy("run").agg(F.min(F.struct("id", "at")).alias("first"), F.first("lead").alias("lead"), F.first("again").alias("again")), "suffix-firsts")
+    copies = often.join(firsts.select("run", "first"), "run").where(F.struct("id", "at") != F.col("first")).select("id", F.col("at").cast("long").alias("s"), (F.col("at") + F.length("run")).cast("long").alias("e"))
+    once = firsts.select("first.id", "lead", "first.at", "again", "run")
+    carried = marked.where("h is null").select(once.columns).unionByName(once)
     dealt = carried.withColumn("part", F.xxhash64("run")).repartitionByRange(parts, "lead", "part").select("lead", "id", "at", "again", "run")
     found = staged(dealt.mapInPandas(_bucket, "id long, s long, e long, digest binary"), "suffix-found")
     inner = found.where("digest is null").select("id", "s", "e")
     edge = found.where("digest is not null")
     first = edge.groupBy("digest").agg(F.min(F.struct("id", "s")).alias("first"), F.count("*").alias("k")).where("k > 1").select("digest", "first")
     across = edge.join(first, "digest").where(F.struct("id", "s") != F.col("first")).select("id", "s", "e")
-    return inner.unionByName(across)
+    return inner.unionByName(across).unionByName(copies)
 
 
 def _cut(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -245,7 +257,9 @@ def _cut(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]
 
 def dedup_suffixes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, where bytes go, ``kept`` of every row."""
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    late = F.lit(LAST) - F.pmod(F.xxhash64(text), F.lit(1 << 61))  # rows without id come last
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), late).alias("id"), "doc_id", text.alias("text"))
     rows = staged(own.select("id", "doc_id", F.pandas_udf(_runs, "n_bytes long, sha string, grams array<long>, starts array<int>, counts array<int>")("text").alias("r")).select("id", "doc_id", "r.*"), "suffix-rows")
     spans = repeated_spans(rows, own.select("id", "text")).groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("gone"))
     spans = staged(spans, "suffix-spans")
