@@ -6,15 +6,20 @@ the overlapping bands of 2(k + 1) diagonals holds them all. Bands that reach the
 alignment of the whole item with free ends in the text.
 
 Case is ignored and each white-space character counts as a space; positions are code points of the text. Items shorter
-than ``shortest`` characters say too little to be looked for; null texts and items count as empty. Every row of a
-repeated id is searched; extra columns are ignored. The benchmark is indexed in blocks of bounded size, each against all
-documents; the index of one block is what is sent to the executors.
+than ``shortest`` characters say too little for edits, so they are found only as they are and between word ends; blank
+ones never. Null texts and items count as empty; items without an id are searched for and reported with a null id.
+Occurrences are of whole items: a part of an item is no leak. Every row of a repeated id is searched; extra columns are
+ignored. The benchmark is indexed in blocks of bounded size, each against all documents; the index of one block is what
+is sent to the executors.
 """
 
+from __future__ import annotations
+
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,9 +58,35 @@ def grams(c: np.ndarray) -> np.ndarray:
     return h * np.uint64(MULTIPLIER)
 
 
+def plain(c: np.ndarray) -> str:
+    return c.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def whole_words(finder: ahocorasick.Automaton, text: str) -> list[tuple[int | None, int, int, int]]:
+    """(item_id, start, end, 0) of the finder's items between word ends; overlapping ones of an item count once."""
+    out, ends = [], {}
+    for last, (item, ids) in finder.iter(text):
+        start, end = last + 1 - len(item), last + 1
+        outside = (start == 0 or not (text[start - 1].isalnum() and item[0].isalnum())) and (end == len(text) or not (text[end].isalnum() and item[-1].isalnum()))
+        if outside and start >= ends.get(item, 0):
+            ends[item] = end
+            out += [(i, start, end, 0) for i in ids]
+    return out
+
+
+def finder(index: Index) -> ahocorasick.Automaton | None:
+    if not index.short:
+        return None
+    a = ahocorasick.Automaton()
+    for item, ids in index.short.items():
+        a.add_word(item, (item, ids))
+    a.make_automaton()
+    return a
+
+
 @dataclass
 class Index:
-    ids: np.ndarray
+    ids: list[int | None]
     items: list[np.ndarray]
     budget: np.ndarray
     bound: np.ndarray  # indexed grams that an occurrence shares at least
@@ -64,10 +95,16 @@ class Index:
     which: np.ndarray
     where: np.ndarray
     table: np.ndarray  # which top bits occur
+    short: dict[str, list[int | None]] = field(default_factory=dict)  # items that must occur as they are
 
 
 def build(rows: list[tuple[int, str]], edits: float, shortest: int) -> Index:
-    kept = [(i, c) for i, c in ((i, codes(t)) for i, t in rows) if len(c) >= max(shortest, Q)]
+    coded = [(i, codes(t)) for i, t in rows]
+    kept = [(i, c) for i, c in coded if len(c) >= max(shortest, Q)]
+    short: dict[str, list[int | None]] = {}
+    for i, c in coded:
+        if len(c) < max(shortest, Q) and (t := plain(c).strip()):
+            short.setdefault(t, []).append(i)
     items = [t for _, t in kept]
     length = np.array([len(t) for t in items], np.int64)
     budget = (length * edits).astype(np.int64)
@@ -92,7 +129,7 @@ def build(rows: list[tuple[int, str]], edits: float, shortest: int) -> Index:
     hashes, starts = np.unique(flat[order], return_index=True)
     table = np.zeros(1 << TABLE_BITS, bool)
     table[hashes >> np.uint64(64 - TABLE_BITS)] = True
-    return Index(np.array([i for i, _ in kept], np.int64), items, budget, bound, hashes, np.append(starts, len(flat)), which[order], where[order], table)
+    return Index([i for i, _ in kept], items, budget, bound, hashes, np.append(starts, len(flat)), which[order], where[order], table, short)
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
@@ -125,9 +162,14 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int)
     return int(cost[best]), int(start[best]), int(diagonal[best] + n)
 
 
-def search(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
+def search(index: Index, text: str | None, exact: ahocorasick.Automaton | None = None) -> list[tuple[int | None, int, int, int]]:
     """(item_id, start, end, edits) of the occurrences in one text; overlapping ones of an item count once."""
     c = codes(text)
+    short = whole_words(exact, plain(c)) if exact is not None else []
+    return sorted(short + _long(index, c), key=lambda x: (x[0] is None, x[0] or 0, *x[1:]))
+
+
+def _long(index: Index, c: np.ndarray) -> list[tuple[int | None, int, int, int]]:
     h = grams(c)
     if not len(h) or not len(index.hashes):
         return []
@@ -176,8 +218,8 @@ def search(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
         for edits, start, end in sorted(set(spans)):
             if all(end <= s or start >= e for _, s, e in chosen):
                 chosen.append((edits, start, end))
-        out += [(int(index.ids[i]), start, end, edits) for edits, start, end in chosen]
-    return sorted(out)
+        out += [(index.ids[i], start, end, edits) for edits, start, end in chosen]
+    return out
 
 
 def _search_udf(index: Index):
@@ -185,19 +227,20 @@ def _search_udf(index: Index):
 
     @F.pandas_udf("array<struct<item_id:long,start:int,end:int,edits:int>>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        exact = finder(shared)
         for t in texts:
-            yield pd.Series([[{"item_id": i, "start": s, "end": e, "edits": d} for i, s, e, d in search(shared, x)] for x in t], dtype=object)
+            yield pd.Series([[{"item_id": i, "start": s, "end": e, "edits": d} for i, s, e, d in search(shared, x, exact)] for x in t], dtype=object)
 
     return run
 
 
 def blocks(benchmark: DataFrame, edits: float, shortest: int, block_chars: int) -> Iterator[Index]:
     """Indexes of the benchmark, each over about ``block_chars`` characters."""
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     count = max(1, -(-total // block_chars))
     for b in range(count):
-        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == b).orderBy("item_id", "text").collect()
+        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b).orderBy("item_id", "text").collect()
         yield build([(r["item_id"], r["text"]) for r in some], edits, shortest)
 
 
