@@ -6,8 +6,10 @@ ids are passed through, repeated or null; other columns are ignored.
 """
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -57,18 +59,48 @@ def unpack_wav(d: bytes, at: int = 0) -> bytes:
     return next((d[s : s + n] for tag, s, n in _wav_chunks(d, at) if tag == b"data"), b"")
 
 
-def _wav(d: bytes, at: int) -> int:
+class Ends:
+    """Where the marks lie that end a medium, each looked for once in the data."""
+
+    def __init__(self, data: bytes):
+        self.data, self.known = data, {}
+
+    def all(self, mark: bytes) -> list[int]:
+        if mark not in self.known:
+            self.known[mark] = [m.start() for m in re.finditer(re.escape(mark), self.data)]
+        return self.known[mark]
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first at or after ``at``, or -1."""
+        found = self.all(mark)
+        i = bisect_left(found, at)
+        return found[i] if i < len(found) else -1
+
+    def zips(self) -> dict[int, int]:
+        """Start to end of the archives whose end record gives the place of their directory; of one start the longest."""
+        if "zips" not in self.known:
+            out, d = {}, self.data
+            for end in self.all(b"PK\x05\x06"):
+                if end + 22 <= len(d):
+                    size, offset, note = struct.unpack_from("<IIH", d, end + 12)
+                    if end + 22 + note <= len(d):
+                        out[end - size - offset] = end + 22 + note
+            self.known["zips"] = out
+        return self.known["zips"]
+
+
+def _wav(d: bytes, at: int, ends: Ends) -> int:
     end = at + 8 + int.from_bytes(d[at + 4 : at + 8], "little")
     tags = {tag for tag, _, _ in _wav_chunks(d, at)}
     return end if {b"fmt ", b"data"} <= tags and end <= len(d) else 0
 
 
-def _png(d: bytes, at: int) -> int:
+def _png(d: bytes, at: int, ends: Ends) -> int:
     p, first = at + 8, True
     while p + 12 <= len(d):
         n, tag = int.from_bytes(d[p : p + 4], "big"), d[p + 4 : p + 8]
         end = p + 12 + n
-        if end > len(d) or first != (tag == b"IHDR") or zlib.crc32(d[p + 4 : p + 8 + n]) != int.from_bytes(d[end - 4 : end], "big"):
+        if end > len(d) or first != (tag == b"IHDR") or (first and n != 13) or zlib.crc32(d[p + 4 : p + 8 + n]) != int.from_bytes(d[end - 4 : end], "big"):
             return 0
         if tag == b"IEND":
             return end
@@ -76,7 +108,7 @@ def _png(d: bytes, at: int) -> int:
     return 0
 
 
-def _gif(d: bytes, at: int) -> int:
+def _gif(d: bytes, at: int, ends: Ends) -> int:
     if len(d) < at + 13:
         return 0
     flags, p = d[at + 10], at + 13
@@ -97,7 +129,7 @@ def _gif(d: bytes, at: int) -> int:
     return 0
 
 
-def _jpeg(d: bytes, at: int) -> int:
+def _jpeg(d: bytes, at: int, ends: Ends) -> int:
     p = at + 2
     while p + 4 <= len(d) and d[p] == 0xFF:
         mark, n = d[p + 1], int.from_bytes(d[p + 2 : p + 4], "big")
@@ -105,40 +137,49 @@ def _jpeg(d: bytes, at: int) -> int:
             return 0
         p += 2 + n
         if mark == 0xDA:
-            end = d.find(b"\xff\xd9", p)
+            end = ends.next(b"\xff\xd9", p)
             return end + 2 if end >= 0 else 0
     return 0
 
 
-def _bmp(d: bytes, at: int) -> int:
+def _bmp(d: bytes, at: int, ends: Ends) -> int:
     if len(d) < at + 26:
         return 0
     size, zero, offset, head = struct.unpack_from("<IIII", d, at + 2)
     return at + size if zero == 0 and head in (12, 40, 52, 56, 108, 124) and 14 + head <= offset <= size <= len(d) - at else 0
 
 
-def _pdf(d: bytes, at: int) -> int:
-    end = d.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and d[at + 5 : at + 6].isdigit() and d.find(b"startxref", at, end) >= 0 else 0
+def _pdf(d: bytes, at: int, ends: Ends) -> int:
+    """Up to the last end mark that a ``startxref`` comes before, short of the next document: updates are appended."""
+    if not d[at + 5 : at + 6].isdigit():
+        return 0
+    limit = ends.next(b"%PDF-", at + 1)
+    marks = ends.all(b"%%EOF")
+    i = bisect_left(marks, limit if limit >= 0 else len(d)) - 1
+    if i < 0 or marks[i] <= at:
+        return 0
+    refs = ends.all(b"startxref")
+    j = bisect_left(refs, marks[i]) - 1
+    return marks[i] + 5 if j >= 0 and refs[j] > at else 0
 
 
-def _zip(d: bytes, at: int) -> int:
-    end = d.find(b"PK\x05\x06", at)
-    if end < 0 or len(d) < end + 22:
-        return 0
-    size, offset, note = struct.unpack_from("<IIH", d, end + 12)
-    return end + 22 + note if at + offset + size == end and end + 22 + note <= len(d) else 0
+def _zip(d: bytes, at: int, ends: Ends) -> int:
+    return ends.zips().get(at, 0)
 
 
-def _gzip(d: bytes, at: int) -> int:
-    z = zlib.decompressobj(31)
+def _gzip(d: bytes, at: int, ends: Ends) -> int:
+    """Fed in pieces, so that a stream that breaks off early costs little and nothing is copied whole."""
+    z, p = zlib.decompressobj(31), at
     try:
-        piece = z.decompress(d[at:], 1 << 16)
-        while not z.eof and (piece or z.unconsumed_tail):
-            piece = z.decompress(z.unconsumed_tail, 1 << 16)
+        while not z.eof and p < len(d):
+            rest = d[p : p + (1 << 14)]
+            p += len(rest)
+            while rest and not z.eof:
+                z.decompress(rest, 1 << 16)
+                rest = z.unconsumed_tail
     except zlib.error:
         return 0
-    return len(d) - len(z.unused_data) if z.eof else 0
+    return p - len(z.unused_data) if z.eof else 0
 
 
 VALID = {"image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "audio/wav": _wav, "image/bmp": _bmp, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip}
@@ -155,10 +196,10 @@ def _automaton():
 
 def carve(data: bytes) -> list[tuple[int, int, str]]:
     """(start, end, type) of every confirmed medium, outer ones first; media inside others are listed too."""
-    found = []
+    found, ends = [], Ends(data)
     for last, (n, kind) in _automaton().iter(data.decode("latin-1")):
         at = last - n + 1
-        end = VALID[kind](data, at)
+        end = VALID[kind](data, at, ends)
         if end:
             found.append((at, end, kind))
     return sorted(found, key=lambda x: (x[0], -x[1]))
