@@ -8,7 +8,8 @@ toxic rows among labelled, learnable rows.
 The fit uses at most ``max_positive`` positives and ``max_unlabelled`` texts, the first by a hash of their ids, and
 ``max_features`` features chosen by a G-test. Scoring covers every whole text and uses the text alone. Null and empty text
 have no words and get the model's base rate. Repeated rows get equal scores; labels of a repeated id count as toxic if
-any is. Without a positive or an unlabelled text the model scores 0 everywhere.
+any is. Without a positive or an unlabelled text the model scores 0 everywhere. Extra columns, whatever their names, are
+ignored by the query and kept by the stage; an empty table gives no rows.
 """
 
 import math
@@ -110,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, max_posi
             yield t.map(lambda x: sorted(features(x)))
 
     # Rows of one id may repeat without bound, so one text is kept for each id.
-    sample = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "p").agg(F.min("text").alias("text"))
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "p").agg(F.min("text").alias("text"))
     sample = staged(sample.select("doc_id", "p", listed("text").alias("w")), "toxic-sample")
     sizes = {r["p"]: r["count"] for r in sample.groupBy("p").count().collect()}
     if len(sizes) < 2:
