@@ -67,7 +67,9 @@ def raked(rows, keep=0.8, rounds=8):
             for c, x in w.items():
                 sums[c[d]] += x
             w = {c: x * aim[c[d]] / sums[c[d]] for c, x in w.items()}
-    chance = {c: min(1, keep * w[c] * total / tokens[c]) for c in w}
+    factor = {c: w[c] * total / tokens[c] for c in w}
+    scale = min(keep, 1 / max(factor.values(), default=1))  # no probability is cut at 1
+    chance = {c: min(1, x * scale) for c, x in factor.items()}
     return {i for i in cell if int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16) / 2**52 < chance[cell[i]]}
 
 
