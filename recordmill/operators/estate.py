@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recordmill.functions.convert import share
+
 # Item types that only run on a dedicated capacity.
 CAPACITY_ONLY = ("lakehouse", "warehouse", "notebook", "datapipeline", "kqldatabase", "kqlqueryset", "eventstream", "eventhouse", "sparkjobdefinition", "environment", "sqldatabase", "dataflowgen2", "mlmodel", "mlexperiment")
 # Finding and weight.
@@ -128,3 +131,47 @@ def lineage(models: DataFrame, upstream: DataFrame, reports: DataFrame, tiles: D
         names = index.select(F.col("id").alias(end), F.col("kind").alias(f"{end}_kind"), F.col("name").alias(f"{end}_name"))
         e = e.join(names, [end, f"{end}_kind"], "left").withColumn(f"{end}_name", F.coalesce(f"{end}_name", end))
     return e.select("source", "source_kind", "source_name", "target", "target_kind", "target_name")
+
+
+def folder_sizes(paths: DataFrame) -> DataFrame:
+    """(area, folder, files, size) of ``paths`` (path, is_directory, length): the first segment, and the first two.
+
+    A directory makes its folder known but adds neither file nor size.
+    """
+    parts = F.filter(F.split("path", "/"), lambda x: x != "")
+    file = ~F.coalesce(F.col("is_directory"), F.lit(False))
+    rows = paths.select(F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("area"), F.concat_ws("/", F.slice(parts, 1, 2)).alias("folder"), file.alias("file"), F.when(file, F.coalesce(F.col("length").cast("long"), F.lit(0))).alias("size"))
+    return rows.groupBy("area", "folder").agg(F.count_if("file").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
+
+
+def area_groups(folders: DataFrame) -> DataFrame:
+    """(area, folders, files, size, largest) over the folders of each area."""
+    area = F.coalesce(F.nullif(F.col("area"), F.lit("")), F.lit("Other"))
+    return folders.groupBy(area.alias("area")).agg(F.count("*").alias("folders"), F.sum("files").cast("long").alias("files"), F.sum("size").cast("long").alias("size"), F.max("size").cast("long").alias("largest"))
+
+
+def by_size(folders: DataFrame) -> DataFrame:
+    """Largest folders first, then by name."""
+    return folders.orderBy(F.desc("size"), "folder")
+
+
+def top_creators(items: DataFrame, most: int = 3) -> DataFrame:
+    """(ws, creator, items, rank) of the creators with most items in each workspace."""
+    counts = items.groupBy("ws", "creator").agg(F.count("*").alias("items"))
+    return counts.withColumn("rank", F.row_number().over(W.partitionBy("ws").orderBy(F.desc("items"), "creator"))).where(F.col("rank") <= most)
+
+
+def shares(rows: DataFrame, by: str) -> DataFrame:
+    """(``by``, total, percent): whole percent of all rows; the total is one row that goes to each task."""
+    counts = rows.groupBy(by).agg(F.count("*").alias("total"))
+    whole = F.broadcast(counts.agg(F.sum("total").alias("__all")))
+    return counts.crossJoin(whole).select(by, "total", share(F.col("total"), F.col("__all")).alias("percent"))
+
+
+def distinct_texts(*columns: DataFrame) -> DataFrame:
+    """Distinct texts that aren't blank from the first columns of several tables, as for a list of owners."""
+    out = None
+    for c in columns:
+        one = c.toDF("value")
+        out = one if out is None else out.union(one)
+    return out.where(F.trim("value") != "").distinct()

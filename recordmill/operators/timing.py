@@ -154,3 +154,10 @@ def liveness(runs: DataFrame, now: Column, stall: int = 90, stale: int = 900) ->
     quiet = F.unix_timestamp(now) - F.unix_timestamp(F.coalesce("updated", "started"))
     said = F.when(F.col("status").isin(*TERMINAL), "terminal").when(quiet >= max(60, stale), "interrupted").when(F.coalesce(F.col("throttled_until") > now, F.lit(False)), "throttled").when(quiet >= stall, "stalled")
     return runs.select("run", quiet.alias("quiet_seconds"), said.otherwise("live").alias("state"))
+
+
+def interrupted(runs: DataFrame, beats: DataFrame, now: Column, stale: int = 900) -> DataFrame:
+    """(run, quiet_seconds) of running or cancelling ``runs`` (run, status, started) whose last progress (run, updated), else start, is too long ago."""
+    both = runs.where(F.col("status").isin("running", "cancelling")).join(beats.select("run", "updated"), "run", "left")
+    quiet = F.unix_timestamp(now) - F.unix_timestamp(F.coalesce("updated", "started"))
+    return both.select("run", quiet.alias("quiet_seconds")).where(F.col("quiet_seconds") >= max(60, stale))

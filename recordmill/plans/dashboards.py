@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recordmill.operators import estate
 from recordmill.operators import exceptions as ex
 from recordmill.operators.survive import Keep, survivors
 
@@ -38,10 +39,8 @@ def overview(s, d):
 
 def folders(s, d):
     """Paths rolled up to their first two segments, then to the first."""
-    path = F.split(F.regexp_replace("url", "^[a-z]+://", ""), "/")
-    files = _read(s, d, "pages").select(F.get(path, F.lit(0)).alias("area"), F.concat_ws("/", F.slice(path, 1, 2)).alias("folder"), F.length("html").cast("long").alias("size"))
-    per = files.groupBy("area", "folder").agg(F.count("*").alias("files"), F.sum("size").alias("size"))
-    return per.groupBy("area").agg(F.count("*").alias("folders"), F.sum("files").alias("files"), F.sum("size").alias("size"), F.max("size").alias("largest"))
+    paths = _read(s, d, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"), F.lit(False).alias("is_directory"), F.length("html").alias("length"))
+    return estate.area_groups(estate.folder_sizes(paths))
 
 
 def settings(s, d):
@@ -65,7 +64,7 @@ PLANS = {
     "recent_runs": (recent_runs, EXC + "select id, first_seen::varchar started from x order by first_seen desc, id limit 15"),
     "open_headline": (lambda s, d: _exceptions(s, d).agg(F.count_if(~F.col("status").isin(*ex.CLOSED)).alias("open"), F.count("*").alias("total")), EXC + "select count(*) filter (status <> 'resolved') as open, count(*) total from x"),
     "mdm_overview": (overview, "select l_partkey % 50 model, count(*) runs, max(l_orderkey) golden, max(l_suppkey) duplicates from lineitem group by 1"),
-    "folder_rollup": (folders, "with f as (select string_split(regexp_replace(url, '^[a-z]+://', ''), '/') p, length(html) size from pages), g as (select p[1] area, array_to_string(p[1:2], '/') folder, count(*) files, sum(size) size from f group by all) select area, count(*) folders, sum(files)::bigint files, sum(size)::bigint size, max(size)::bigint largest from g group by 1"),
+    "folder_rollup": (folders, "with f as (select list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: x <> '') p, length(html) size from pages), g as (select p[1] area, array_to_string(p[1:2], '/') folder, count(*) files, sum(size) size from f group by all) select area, count(*) folders, sum(files)::bigint files, sum(size)::bigint size, max(size)::bigint largest from g group by 1"),
     "settings_summary": (settings, "select string_split(p_type, ' ')[1] grp, count(*) total, count(*) filter (p_partkey % 3 = 0) enabled, count(*) filter (p_partkey % 3 <> 0) disabled, count(*) filter (p_partkey % 4 = 0) delegated, count(*) filter (p_partkey % 10 > 4) group_scoped from part group by 1"),
     "survivor_strategies": (strategies, SYSTEMS + ", f as (select *, count(segment) over (partition by digits, segment) n from s) select digits as cluster, count(*) member_count, arg_min(segment, (-n) * 10 + trust) segment, arg_min(id, (-n) * 10 + trust) segment_from, arg_min(name, trust) as name, max(cast(round(balance * 100) as bigint))::varchar cents, (count(distinct segment) > 1)::int + (count(distinct name) > 1)::int + (count(distinct cast(round(balance * 100) as bigint)) > 1)::int + (count(distinct upper(segment)) > 1)::int + (count(distinct left(id, 3)) > 1)::int conflicts, true needs_steward from f group by digits"),
 }

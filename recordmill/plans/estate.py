@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recordmill.operators import estate, timing
+
 
 def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,9 +42,16 @@ def interrupted(s, d):
 
 
 def storage_rollup(s, d):
-    parts = F.split(F.regexp_replace("url", "^[a-z]+://[^/]*/?", ""), "/")
-    pages = _read(s, d, "pages").select(F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("area"), F.length("html").cast("long").alias("size"))
-    return pages.groupBy("area").agg(F.count("*").alias("files"), F.sum("size").alias("size"))
+    path = F.regexp_replace("url", "^[a-z]+://[^/]*/?", "")
+    paths = _read(s, d, "pages").select(path.alias("path"), F.lit(False).alias("is_directory"), F.length("html").alias("length"))
+    return estate.folder_sizes(paths).groupBy("area").agg(F.sum("files").alias("files"), F.sum("size").alias("size"))
+
+
+def interrupted_join(s, d):
+    events = _read(s, d, "events")
+    runs = events.groupBy(F.col("user_id").alias("run")).agg(F.min("ts").alias("started")).selectExpr("*", "case when run % 4 = 0 then 'completed' when run % 4 = 1 then 'cancelling' else 'running' end status")
+    beats = events.where("user_id % 3 = 0").groupBy(F.col("user_id").alias("run")).agg(F.max("ts").alias("updated"))
+    return timing.interrupted(runs, beats, F.expr("timestamp'2024-01-31 00:00:00'"), 86400)
 
 
 PLANS = {
@@ -50,5 +59,6 @@ PLANS = {
     "triage_access": (user_access, "with c as (select c_nationkey ws, count(*) filter (c_custkey % 4 = 0) admins, count(*) users from customer group by 1) select n_name as name, coalesce(admins,0) admins, coalesce(users,0) users, case when coalesce(admins,0) = 0 then 'ownerless' when admins = 1 then 'singleAdmin' when users >= 50 then 'overShared' end finding from nation left join c on ws = n_nationkey"),
     "rate_window": (rate_window, "select user_id, date_trunc('day', ts)::timestamp as day, count(*) hits from events group by all having count(*) > 2"),
     "interrupted_runs": (interrupted, "select user_id, cast(epoch(timestamp '2024-01-31') as bigint) - cast(floor(epoch(max(ts))) as bigint) quiet_seconds from events group by 1 having quiet_seconds >= 86400"),
-    "storage_rollup": (storage_rollup, "select string_split(regexp_replace(url, '^[a-z]+://[^/]*/?', ''), '/')[1] area, count(*) files, cast(sum(length(html)) as bigint) as size from pages group by 1"),
+    "interrupted_left_join": (interrupted_join, "with e as (select user_id run, cast(epoch(timestamp '2024-01-31') as bigint) - cast(floor(epoch(case when user_id % 3 = 0 then max(ts) else min(ts) end)) as bigint) quiet_seconds from events where user_id % 4 <> 0 group by 1) select * from e where quiet_seconds >= 86400"),
+    "storage_rollup": (storage_rollup, "select coalesce(list_filter(string_split(regexp_replace(url, '^[a-z]+://[^/]*/?', ''), '/'), lambda x: x <> '')[1], '') area, count(*) files, cast(sum(length(html)) as bigint) as size from pages group by 1"),
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordmill.functions import text as tx
-from recordmill.operators import master
+from recordmill.operators import estate, ledger, master
 from recordmill.operators.score import Feature, score_pairs
 
 from .records import SYSTEMS, _blocked, _read, _systems
@@ -39,21 +39,17 @@ def latest_pairs(s, d):
 
 
 def top3(s, d):
-    counts = _read(s, d, "orders").groupBy(F.col("o_orderpriority").alias("ws"), F.col("o_custkey").alias("creator")).agg(F.count("*").alias("items"))
-    ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("ws").orderBy(F.desc("items"), "creator")))
-    return ranked.where("rank <= 3")
+    return estate.top_creators(_read(s, d, "orders").select(F.col("o_orderpriority").alias("ws"), F.col("o_custkey").alias("creator")))
 
 
 def ageing(s, d):
-    days = F.datediff(F.lit("1998-08-31").cast("date"), F.col("o_orderdate").cast("date"))
-    opened = _read(s, d, "orders").where("o_orderstatus <> 'F'").select(days.alias("days"))
-    return opened.agg(F.count_if(F.col("days") <= 7).alias("week"), F.count_if(F.col("days").between(8, 30)).alias("month"), F.count_if(F.col("days") > 30).alias("older"))
+    rows = _read(s, d, "orders").selectExpr("case when o_orderstatus = 'F' then 'resolved' else 'open' end status", "o_orderdate first_seen")
+    return ledger.ageing(rows, F.lit("1998-08-31").cast("date"))
 
 
 def owners(s, d):
-    a = _read(s, d, "customer").select(F.lower("c_mktsegment").alias("owner"))
-    b = _read(s, d, "orders").select(F.lower("o_orderpriority").alias("owner"))
-    return a.union(b).where(F.trim("owner") != "").distinct()
+    a, b = _read(s, d, "customer").select(F.lower("c_mktsegment")), _read(s, d, "orders").select(F.lower("o_orderpriority"))
+    return estate.distinct_texts(a, b).withColumnRenamed("value", "owner")
 
 
 def listing(s, d):
@@ -68,8 +64,7 @@ def orphans(s, d):
 
 
 def shares(s, d):
-    counts = _read(s, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("total"))
-    return counts.select("c_mktsegment", "total", F.floor(F.col("total") * 100.0 / F.sum("total").over(W.partitionBy()) + 0.5).cast("long").alias("percent"))
+    return estate.shares(_read(s, d, "customer"), "c_mktsegment")
 
 
 PLANS = {
