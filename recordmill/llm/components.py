@@ -38,7 +38,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return labels
 
 
-def classes(buckets: DataFrame, facts: DataFrame, possible: Callable[[str, str], Column], similar: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+def classes(buckets: DataFrame, facts: DataFrame, possible: Callable[[str, str], Column], similar: Callable[[DataFrame], DataFrame], name: str, exact: bool = True) -> DataFrame:
     """(v, c) of the components that verified links between members of one bucket form.
 
     ``buckets``: distinct (bucket, node). ``facts``: node and what ``possible`` needs; ``possible(x, y)`` is a necessary
@@ -46,7 +46,8 @@ def classes(buckets: DataFrame, facts: DataFrame, possible: Callable[[str, str],
     linked ones. First each bucket's hub, the node that shares most buckets, is compared with its other members, a star:
     a hub near the middle of its group links most of it. Where members of a bucket then still lie in several components,
     every member outside the bucket's largest component is held against all members of other components, so that no
-    link that could join two components is missed; ``possible`` is asked inside that join, before any pair is formed.
+    link that could join two components is missed; ``possible`` is asked inside that join, before any pair is formed. Unless ``exact``, only one more star is
+    drawn in such a bucket, around a member outside its largest component, so that pairs never outnumber the buckets' rows.
     """
     facts_of = lambda side: facts.select(F.col("node").alias(side), *[F.col(c).alias(side + c) for c in facts.columns if c != "node"])
     full = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -63,6 +64,12 @@ def classes(buckets: DataFrame, facts: DataFrame, possible: Callable[[str, str],
     mixed = parts.groupBy("bucket").agg(F.count("*").alias("cs"), F.max_by("c", F.struct("k", "c")).alias("most")).where("cs > 1").select("bucket", "most")
     open_ = staged(named.join(mixed, "bucket").join(facts, "node"), f"{name}-open")
     own = [c for c in open_.columns if c not in ("bucket", "most")]
+    if not exact:
+        second = open_.where("c <> most").groupBy("bucket").agg(F.max_by(F.struct(F.col("node").alias("hub"), F.col("c").alias("own")), F.xxhash64("node")).alias("x")).select("bucket", "x.*")
+        others = open_.join(second, "bucket").where("own <> c")
+        drawn = others.select(*ends).distinct().join(stars, ["a", "b"], "left_anti")
+        more = staged(similar(drawn.join(facts_of("a"), "a").join(facts_of("b"), "b").where(possible("a", "b")).select("a", "b")), f"{name}-more")
+        return labels if more.isEmpty() else components(linked.unionByName(more), name)
     x = open_.where("c <> most").select("bucket", *[F.col(c).alias("a" if c == "node" else f"a{c}") for c in own])
     y = open_.select("bucket", (F.col("c") == F.col("most")).alias("main"), *[F.col(c).alias("b" if c == "node" else f"b{c}") for c in own])
     # Two members outside the largest component would meet twice.
