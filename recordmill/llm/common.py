@@ -62,10 +62,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     small_batches(spark)
     path = f"{shared_dir(spark)}/recordmill/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    return adopt(spark.read.schema(df.schema).parquet(path), path)
+
+
+def adopt(read: DataFrame, path: str) -> DataFrame:
+    """``read``, known as a staged table at ``path``, so that ``discard`` and ``clean`` find it."""
     _STAGED.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
+    read.staged_at = path
+    return read
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -1,6 +1,6 @@
 """The corpus queries: each applies one operator, with production parameters, to its whole table."""
 
-from . import decontaminate, language, line_dedup, media, mixing, near_dedup, secrets, suffix_dedup, token_counts, toxicity
+from . import decontaminate, filter_audit, hard_negatives, language, license_scan, line_dedup, media, mixing, near_dedup, secrets, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -44,5 +44,17 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_near_dedup, op4_suffix_dedup, op5_token_counts, op6_language, op7_media_columns, op8_mixing, op9_line_dedup, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.oracle()}
+def op11_hard_negatives(spark, sf_dir):
+    return hard_negatives.mine_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_license_scan(spark, sf_dir):
+    return license_scan.license_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_near_dedup, op4_suffix_dedup, op5_token_counts, op6_language, op7_media_columns, op8_mixing, op9_line_dedup, op10_secret_scan, op11_hard_negatives, op12_license_scan, op13_filter_audit)}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.oracle(), "op11_hard_negatives": hard_negatives.oracle(), "op12_license_scan": license_scan.oracle(), "op13_filter_audit": filter_audit.oracle()}
