@@ -54,6 +54,18 @@ def clusters(records: DataFrame, id_col: str, pairs: DataFrame, strict: bool = F
     return own.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
 
+def running(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the sum of ``value`` up to each row in ``order``, without drawing all rows into one task.
+
+    Rows are sorted by ranges and checkpointed; of the partitions only the sums are added up before.
+    """
+    ranged = cut(df.orderBy(*order)).select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__i"))
+    sums = ranged.groupBy("__p").agg(F.sum(value).alias("__n"))  # one row for each partition
+    starts = sums.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__start"))
+    own = F.sum(value).over(W.partitionBy("__p").orderBy("__i").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return ranged.withColumn("__own", own).join(F.broadcast(starts), "__p").withColumn(name, F.col("__start") + F.col("__own")).drop("__p", "__i", "__own", "__start")
+
+
 def sequenced(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with ``name``, its place from 1 in ``order``, without drawing all rows into one task.
 

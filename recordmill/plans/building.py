@@ -46,6 +46,18 @@ def _capped(s, d):
     return pairs.agg(F.min("l").alias("least"), F.max(F.struct("l", "r")).alias("last")).select("least", "last.l", "last.r").crossJoin(cost)  # one row
 
 
+def _hot(s, d):
+    """All customers in one block, since all names begin alike: the first hundred pairs are those of the first customer."""
+    blocked = master.blocks(_read(s, d, "customer"), "c_custkey", [master.block_keys("c_name", "prefix", 1)])
+    return master.candidates(blocked, 100)[0]
+
+
+def _grams(s, d):
+    """Part names that share any three letters: pairs that meet in many blocks."""
+    names = _read(s, d, "part").select("p_name").distinct()
+    return master.block_pairs(master.blocks(names, "p_name", [master.block_keys("p_name", "ngram", 3), master.block_keys("p_name", "prefix", 1)]), 16)
+
+
 CAPPED = "with p as (select distinct a.c_custkey l, b.c_custkey r from customer a join customer b on a.c_nationkey = b.c_nationkey and a.c_mktsegment = b.c_mktsegment and a.c_custkey < b.c_custkey), k as (select * from p order by l, r limit 500), z as (select count(*) n from customer group by c_nationkey, c_mktsegment) select (select min(l) from k) least, (select l from k order by l desc, r desc limit 1) l, (select r from k order by l desc, r desc limit 1) r, (select count(*) from k) candidate_pairs, (select count(*) >= 500 from k) truncated, (select count(*) from z) blocks_examined, (select max(n) from z) largest_block"
 
 
@@ -192,6 +204,8 @@ PLANS = {
     "contributions": (lambda s, d: contributions(_explained(s, d)).select("l", "r", "field", "score", "weight", "skipped", "policy"), BUILT + "select l, r, 'std_name' field, floor(n * 1000 + 0.5) / 1000 score, 2.0::double weight, false skipped, null::varchar policy from d union all select l, r, 'std_segment', g, 1, false, null from d union all select l, r, 'std_balance', h, 1, h is null, case when h is null then 'skip' end from d union all select l, r, 'std_digits', 1, 1, false, null from d"),
     "score_blockers": (_blockers, SYSTEMS + ", p as (select a.segment = b.segment g, a.balance = b.balance h from s a join s b on a.digits = b.digits and a.id < b.id) select case when not g or h is null or not h then 'rejected' else 'match' end decision, case when not g then 'segment' when h is null or not h then 'balance' end field, case when not g then 'conflicts' when h is null then 'missing' when not h then 'disagrees' end code, count(*) total from p group by all"),
     "candidate_cap": (_capped, CAPPED),
+    "candidate_cap_hot": (_hot, "select c_custkey l, c_custkey + n r from (select min(c_custkey) c_custkey from customer), (select unnest(range(1, 101)) n)"),
+    "block_pairs_ngrams": (_grams, "with n as (select distinct p_name from part), g as (select p_name, unnest(list_concat([left(p_name, 1)], list_transform(range(1, length(p_name) - 1), lambda i: substr(p_name, i, 3)))) g from n) select distinct a.p_name l, b.p_name r from g a join g b on a.g = b.g and a.p_name < b.p_name"),
     "block_pairs_chunked": (lambda s, d: master.block_pairs(_blocked(s, d), 2), SYSTEMS + "select a.id l, b.id r from s a join s b on a.digits = b.digits and a.id < b.id"),
     "comparisons_avoided": (lambda s, d: master.comparisons(_systems(s, d)), SYSTEMS + "select count(*) records, count(*) * (count(*) - 1) // 2 exhaustive from s"),
     "strict_statistics": (_strictly, SYSTEMS + "select count(*) records, count(distinct digits) golden, max(n)::bigint largest from (select *, count(*) over (partition by digits) n from s)"),
