@@ -157,12 +157,18 @@ def published(golden: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def publish(result: Mastered, model: Model, target: datasets.Source, table: str, crosswalk_table: str | None = None, mode: str = "replace") -> None:
-    """Write golden records, and the crosswalk where a table is named for it."""
+    """Write golden records, and the crosswalk where a table is named for it. A database's table is replaced in one step."""
     if not target.writable:
         raise PermissionError(f"{target.name} is read-only")
-    datasets.write(published(result.golden, [f.name for f in model.fields]), target, table, mode, text_only=True)
+    rows = {table: published(result.golden, [f.name for f in model.fields])}
     if crosswalk_table:
-        datasets.write(result.crosswalk, target, crosswalk_table, mode, text_only=True)
+        rows[crosswalk_table] = result.crosswalk
+    for name, df in rows.items():
+        text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+        if target.kind == "jdbc" and mode == "replace":
+            datasets.publish_staged(text, target, name)
+        else:
+            datasets.write(text, target, name, mode)
 
 
 def save_results(result: Mastered, run: int, folder: str) -> None:

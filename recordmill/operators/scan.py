@@ -6,6 +6,8 @@ use are read.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,19 +27,38 @@ USER = "struct<identifier:string,graphId:string,principalType:string,displayName
 WORKSPACE = f"struct<id:string,name:string,displayName:string,type:string,state:string,capacityId:string,capacityName:string,capacitySku:string,licenseType:string,isOnDedicatedCapacity:boolean,pipelineName:string,pipelineStage:string,storageSize:bigint,storageFiles:bigint,usersReadable:boolean,description:string,deletedAt:string,items:array<{ITEM}>,users:array<{USER}>>"
 GROUPS = "array<struct<name:string,graphId:string>>"
 SETTING = f"struct<settingName:string,title:string,tenantSettingGroup:string,enabled:boolean,delegateToWorkspace:boolean,delegateToCapacity:boolean,delegateToDomain:boolean,enabledSecurityGroups:{GROUPS},excludedSecurityGroups:{GROUPS}>"
-DOCUMENT = f"struct<workspaces:array<{WORKSPACE}>,tenantSettings:array<{SETTING}>>"
 
 
-def parsed(runs: DataFrame) -> DataFrame:
-    """``runs`` (run, results: JSON and more) with the struct ``doc``; a broken document reads as one without workspaces."""
-    return runs.withColumn("doc", F.from_json("results", DOCUMENT)).drop("results")
+@dataclass(frozen=True)
+class Scans:
+    """``workspaces`` (run, w), ``settings`` (run, s) and ``runs`` (run, captured): a row for each workspace and setting of a run."""
+
+    workspaces: DataFrame
+    settings: DataFrame
+    runs: DataFrame
 
 
-def _each(docs: DataFrame) -> DataFrame:
-    return docs.select("run", F.explode("doc.workspaces").alias("w"))
+def parsed(documents: DataFrame, setting_documents: DataFrame, runs: DataFrame) -> Scans:
+    """Stored documents (run, ws, doc), (run, setting, doc) as structs. A broken one keeps its key and nothing else.
+
+    Where ``documents`` also has deleted_at, a workspace with such a time shows as deleted, whatever its document says.
+    """
+    extra = ["deleted_at"] if "deleted_at" in documents.columns else []
+    w = documents.select("run", "ws", *extra, F.from_json("doc", WORKSPACE).alias("w"))
+    w = w.withColumn("w", F.coalesce("w", F.from_json(F.lit("{}"), WORKSPACE)).withField("id", F.coalesce("w.id", "ws")))
+    if extra:
+        w = w.withColumn("w", F.when(F.col("deleted_at").isNull(), F.col("w")).otherwise(F.col("w").withField("state", F.lit(DELETED)).withField("deletedAt", F.col("deleted_at"))))
+    w = w.select("run", "w")
+    s = setting_documents.select("run", "setting", F.from_json("doc", SETTING).alias("s"))
+    s = s.select("run", F.coalesce("s", F.from_json(F.lit("{}"), SETTING)).withField("settingName", F.coalesce("s.settingName", "setting")).alias("s"))
+    return Scans(w, s, runs.select("run", "captured"))
 
 
-def workspaces(docs: DataFrame) -> DataFrame:
+def _each(docs: Scans) -> DataFrame:
+    return docs.workspaces
+
+
+def workspaces(docs: Scans) -> DataFrame:
     """One row per run and workspace, with its counts; access is unreadable only where the document says so."""
     w = F.col("w")
     fields = {"ws": w["id"], "name": F.coalesce(w["name"], w["displayName"]), "type": w["type"], "state": w["state"], "capacity_id": w["capacityId"], "capacity_name": w["capacityName"], "sku": w["capacitySku"], "licence": w["licenseType"], "dedicated": w["isOnDedicatedCapacity"], "pipeline": w["pipelineName"], "stage": w["pipelineStage"], "storage": w["storageSize"], "files": w["storageFiles"], "description": w["description"]}
@@ -45,26 +66,26 @@ def workspaces(docs: DataFrame) -> DataFrame:
     return _each(docs).select("run", *[c.alias(n) for n, c in fields.items()], size(w["items"]).alias("item_count"), size(w["users"]).alias("user_count"), F.coalesce(w["usersReadable"], F.lit(True)).alias("users_readable"))
 
 
-def items(docs: DataFrame) -> DataFrame:
+def items(docs: Scans) -> DataFrame:
     i = F.col("i")
     fields = {"item": i["id"], "name": i["name"], "type": i["type"], "state": i["state"], "description": i["description"], "storage": i["storageSize"], "modified_at": F.coalesce(i["lastUpdate"], i["lastUpdated"], i["modifiedDateTime"]), "modified_by": i["modifiedBy"], "creator_name": i["creator"]["name"], "creator_upn": i["creator"]["upn"]}
     return _each(docs).select("run", F.col("w.id").alias("ws"), F.explode("w.items").alias("i")).select("run", "ws", *[c.alias(n) for n, c in fields.items()])
 
 
-def users(docs: DataFrame) -> DataFrame:
+def users(docs: Scans) -> DataFrame:
     u = F.col("u")
     fields = {"principal": F.coalesce(u["identifier"], u["graphId"]), "kind": u["principalType"], "name": F.coalesce(u["displayName"], u["name"]), "email": F.coalesce(u["emailAddress"], u["userPrincipalName"], u["email"]), "role": F.coalesce(u["groupUserAccessRight"], u["accessRight"], u["role"])}
     return _each(docs).select("run", F.col("w.id").alias("ws"), F.explode("w.users").alias("u")).select("run", "ws", *[c.alias(n) for n, c in fields.items()])
 
 
-def settings(docs: DataFrame) -> DataFrame:
+def settings(docs: Scans) -> DataFrame:
     """One row per run and setting; a run that captured none has no rows, see ``captured``."""
-    return docs.select("run", F.explode("doc.tenantSettings").alias("s")).select("run", "s.*")
+    return docs.settings.select("run", "s.*")
 
 
-def captured(docs: DataFrame) -> DataFrame:
+def captured(docs: Scans) -> DataFrame:
     """(run, captured): whether the run holds settings at all, be it an empty list."""
-    return docs.select("run", F.col("doc.tenantSettings").isNotNull().alias("captured"))
+    return docs.runs
 
 
 def run_workspaces(ws: DataFrame, run: int) -> DataFrame:
@@ -315,11 +336,12 @@ def state_counts(checked: DataFrame) -> DataFrame:
     return checked.agg(F.count_if("there").alias("active"), F.count_if(~F.col("there")).alias("deleted"), F.count_if(F.col("there").isNull()).alias("unknown"))
 
 
-def mark_deleted(docs: DataFrame, ws: str, at: str) -> DataFrame:
-    """Every stored document with the workspace marked as deleted; its items and users stay, and so does an earlier mark."""
-    hit = lambda w: (w["id"] == ws) & (F.coalesce(w["state"], F.lit("")) != DELETED)
-    marked = F.transform(F.col("doc.workspaces"), lambda w: F.when(hit(w), w.withField("state", F.lit(DELETED)).withField("deletedAt", F.lit(at))).otherwise(w))
-    return docs.withColumn("doc", F.col("doc").withField("workspaces", marked))
+def mark_deleted(docs: Scans, ws: str, at: str) -> Scans:
+    """The workspace marked as deleted in every run; its items and users stay, and so does an earlier mark."""
+    w = F.col("w")
+    hit = (w["id"] == ws) & (F.coalesce(w["state"], F.lit("")) != DELETED)
+    marked = F.when(hit, w.withField("state", F.lit(DELETED)).withField("deletedAt", F.lit(at))).otherwise(w)
+    return replace(docs, workspaces=docs.workspaces.withColumn("w", marked))
 
 
 def item_storage(paths: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Two scans of an estate as stored documents: nations as workspaces, parts as items, customers as users, suppliers as settings."""
+"""Two scans of an estate as stored documents, a row for each workspace: nations as workspaces, parts as items, customers as users, suppliers as settings."""
 
 from __future__ import annotations
 
@@ -27,21 +27,20 @@ LICENCE = ", c as (select 'cap-0' id, 'F64' sku union all select 'cap-1', 'P1'),
 
 
 def documents(s, d):
-    """(run, results): each scan as one stored JSON text."""
+    """Each scan as stored: a JSON text for each workspace and each setting of a run, and whether settings were captured."""
     item = F.struct(F.col("item").alias("id"), "name", "type", F.when(F.col("creator").isNotNull(), F.struct(F.lit(None).cast("string").alias("name"), F.col("creator").alias("upn"))).alias("creator"))
-    items = I(s, d).groupBy("run", "ws").agg(F.collect_list(item).alias("items"))
+    items = I(s, d).groupBy("run", "ws").agg(F.collect_list(item).alias("items"))  # a workspace's own, which are one document
     users = U(s, d).groupBy("run", "ws").agg(F.collect_list(F.struct("email", "name", "role")).alias("users"))
     ws = W(s, d).join(items, ["run", "ws"], "left").join(users, ["run", "ws"], "left")
     one = F.struct(F.col("ws").alias("id"), "name", "state", F.col("capacity_id").alias("capacityId"), F.col("storage").alias("storageSize"), F.col("files").alias("storageFiles"), "items", "users")
     group = F.expr("array(struct(concat('g', k % 5) as name, cast(null as string) as graphId), struct(cast(null as string) as name, 'h' as graphId))")
     setting = F.struct(F.col("name").alias("settingName"), "title", F.col("grp").alias("tenantSettingGroup"), F.col("on_").alias("enabled"), F.col("delegated").alias("delegateToWorkspace"), F.when(F.col("scoped"), group).alias("enabledSecurityGroups"))
-    settings = S(s, d).groupBy("run").agg(F.collect_list(setting).alias("tenantSettings"))
-    docs = ws.groupBy("run").agg(F.collect_list(one).alias("workspaces")).join(settings, "run", "left")
-    return docs.select("run", F.to_json(F.struct("workspaces", "tenantSettings")).alias("results"))
+    settings = S(s, d).select("run", F.col("name").alias("setting"), F.to_json(setting).alias("doc"))
+    return ws.select("run", "ws", F.to_json(one).alias("doc")), settings, W(s, d).select("run").distinct().withColumn("captured", F.lit(True))
 
 
 def _docs(s, d):
-    return scan.parsed(documents(s, d))
+    return scan.parsed(*documents(s, d))
 
 
 def _capacities(s):

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a side, where a limit is asked for.
@@ -46,6 +47,30 @@ def quote(name: str) -> str:
     return ".".join(f"`{part}`" for part in name.split("."))
 
 
+@dataclass(frozen=True)
+class Dialect:
+    """What databases write differently: quotation marks, the type of text, and whether CREATE TABLE takes IF NOT EXISTS."""
+
+    marks: tuple[str, str] = ('"', '"')
+    text: str = "VARCHAR(4000)"
+    guarded: bool = True
+
+    def name(self, dotted: str, split: bool = True) -> str:
+        """A checked name in the database's marks; without ``split`` dots belong to the name."""
+        parts = [x.strip("`") for x in quote(dotted).split(".")]
+        return ".".join(f"{self.marks[0]}{x}{self.marks[1]}" for x in (parts if split else [".".join(parts)]))
+
+
+ANSI = Dialect()
+#: By the word after ``jdbc:`` in a source's address.
+DIALECTS = {"derby": Dialect(guarded=False), "sqlserver": Dialect(("[", "]"), "NVARCHAR(4000)", False), "mysql": Dialect(("`", "`")), "oracle": Dialect(text="VARCHAR2(4000)", guarded=False)}
+
+
+def dialect_of(source: Source) -> Dialect:
+    kind = source.base.split(":")[1] if source.base.startswith("jdbc:") else ""
+    return DIALECTS.get(kind, ANSI)
+
+
 def expression_problem(text: str | None) -> str | None:
     """The code of what is wrong with an author's expression (empty, too_long, unbalanced or one of ``FORBIDDEN``), or None."""
     text = (text or "").strip()
@@ -95,12 +120,12 @@ def read(spark: SparkSession, source: Source, dataset: str, split: Split | None
     if source.kind == "jdbc":
         if split is not None:
             reader = reader.options(**split.options())
-        return reader.option("url", source.base).option("dbtable", ".".join(f'"{x.strip("`")}"' for x in quote(dataset).split("."))).load()
+        return reader.option("url", source.base).option("dbtable", dialect_of(source).name(dataset)).load()
     return reader.load(f"{source.base.rstrip('/')}/{dataset}")
 
 
-def read_rows(spark: SparkSession, source: Source, dataset: str, selections: list[Selection], limit: int | None = None) -> DataFrame:
-    return project(read(spark, source, dataset), selections, limit)
+def read_rows(spark: SparkSession, source: Source, dataset: str, selections: list[Selection], limit: int | None = None, split: Split | None = None) -> DataFrame:
+    return project(read(spark, source, dataset, split), selections, limit)
 
 
 def probe(spark: SparkSession, source: Source, dataset: str) -> bool:
@@ -140,30 +165,119 @@ def batch_rows(columns: int, asked: int | None = None) -> int:
     return max(1, min(asked, most)) if asked else most
 
 
-def create_statement(dataset: str, columns: list[str]) -> str:
-    """A guarded statement that makes a table of nullable text columns."""
-    name = ".".join(f'"{x.strip("`")}"' for x in quote(dataset).split("."))
-    return f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(f'"{quote(c).strip("`")}" VARCHAR(4000)' for c in columns)})"
+def create_statement(dataset: str, columns: list[str], dialect: Dialect = ANSI) -> str:
+    """A statement that makes a table of nullable text columns, guarded where the database knows a guard."""
+    return f"CREATE TABLE {'IF NOT EXISTS ' if dialect.guarded else ''}{dialect.name(dataset)} ({', '.join(f'{dialect.name(c, False)} {dialect.text}' for c in columns)})"
+
+
+@contextmanager
+def connection(spark: SparkSession, source: Source):
+    """A connection to a database from the driver, for statements; rows never pass through it. Rolled back unless committed."""
+    properties = spark._jvm.java.util.Properties()
+    for k in ("user", "password"):
+        if k in source.options:
+            properties.setProperty(k, source.options[k])
+    # Spark's own registry loads drivers from its jars and from those added to the session.
+    driver = source.options.get("driver") or spark._jvm.java.sql.DriverManager.getDriver(source.base).getClass().getName()
+    spark._jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(driver)
+    c = spark._jvm.java.sql.DriverManager.getConnection(source.base, properties)
+    try:
+        c.setAutoCommit(False)
+        yield c
+    finally:
+        c.rollback()
+        c.close()
+
+
+def _execute(c, statement: str) -> bool:
+    s = c.createStatement()
+    try:
+        return s.execute(statement)
+    finally:
+        s.close()
+
+
+def table_exists(spark: SparkSession, source: Source, dataset: str) -> bool:
+    *schema, table = [x.strip("`") for x in quote(dataset).split(".")]
+    with connection(spark, source) as c:
+        found = c.getMetaData().getTables(None, schema[-1] if schema else c.getSchema(), table, None)
+        try:
+            return found.next()
+        finally:
+            found.close()
+
+
+def create_table(spark: SparkSession, source: Source, dataset: str, columns: list[str]) -> bool:
+    """Make a table of text columns in a database unless it is there; says whether it was made."""
+    if not source.writable:
+        raise PermissionError(f"{source.name} is read-only")
+    if table_exists(spark, source, dataset):
+        return False
+    with connection(spark, source) as c:
+        _execute(c, create_statement(dataset, columns, dialect_of(source)))
+        c.commit()
+    return True
+
+
+def run_statements(spark: SparkSession, statements: list[str], source: Source | None = None) -> list[DataFrame]:
+    """Run statements in order and stop at the first that fails; the results of those that return rows.
+
+    With a database as ``source`` they run there, in one transaction that a failure takes back, and results are read from
+    it by Spark after it is committed; else they run on Spark.
+    """
+    if source is None or source.kind != "jdbc":
+        return [df for s in statements if (df := spark.sql(s)).columns]
+    if not source.writable:
+        raise PermissionError(f"{source.name} is read-only")
+    with connection(spark, source) as c:
+        rows = [s for s in statements if _execute(c, s)]
+        c.commit()
+    return [spark.read.format("jdbc").options(**source.options).option("url", source.base).option("query", s).load() for s in rows]
 
 
-def run_statements(spark: SparkSession, statements: list[str]) -> list[DataFrame]:
-    """Run statements in order and stop at the first that fails; the results of those that return rows."""
-    return [df for s in statements if (df := spark.sql(s)).columns]
+def publish_staged(df: DataFrame, source: Source, dataset: str, batch: int | None = None) -> int:
+    """Replace a database's table so that readers see the old rows or the new ones; says how many were written.
+
+    Executors write a staging table, whose rows are counted against those that Spark wrote, so that a task that ran twice
+    can't publish twice; then one transaction empties the target, fills it and drops the staging table. What a run that
+    died has left is overwritten by the next one. The target is made if it is missing.
+    """
+    if not source.writable:
+        raise PermissionError(f"{source.name} is read-only")
+    spark, d, stage = df.sparkSession, dialect_of(source), f"{dataset}_staged"
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("n")), source, stage, "replace", batch=batch)
+    n = seen.get["n"]
+    if not table_exists(spark, source, dataset):
+        write(df.limit(0), source, dataset, "replace")
+    columns = ", ".join(d.name(c, False) for c in df.columns)
+    with connection(spark, source) as c:
+        s = c.createStatement()
+        found = s.executeQuery(f"SELECT COUNT(*) FROM {d.name(stage)}")
+        found.next()
+        if found.getLong(1) != n:
+            raise RuntimeError(f"{found.getLong(1)} staged rows instead of {n}")
+        s.close()
+        for text in (f"DELETE FROM {d.name(dataset)}", f"INSERT INTO {d.name(dataset)} ({columns}) SELECT {columns} FROM {d.name(stage)}", f"DROP TABLE {d.name(stage)}"):
+            _execute(c, text)
+        c.commit()
+    return n
 
 
 def write(df: DataFrame, source: Source, dataset: str, mode: str = "append", text_only: bool = False, batch: int | None = None) -> None:
-    """``replace`` or ``append``. Nothing is appended for no rows. ``text_only`` writes every column as text."""
+    """``replace`` or ``append``, which adds nothing for no rows. ``text_only`` writes every column as text."""
     if not source.writable:
         raise PermissionError(f"{source.name} is read-only")
     if mode not in ("append", "replace"):
         raise ValueError(f"unknown mode: {mode}")
     if text_only:
         df = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
-    if mode == "append" and df.isEmpty():
-        return
     writer = df.write.format(source.kind).options(**source.options).mode("overwrite" if mode == "replace" else "append")
     if source.kind != "jdbc":
         writer.save(f"{source.base.rstrip('/')}/{dataset}")
         return
-    table = ".".join(f'"{x.strip("`")}"' for x in quote(dataset).split("."))
-    writer.option("url", source.base).option("dbtable", table).option("truncate", "true").option("batchsize", batch_rows(len(df.columns), batch)).save()
+    d = dialect_of(source)
+    text = ", ".join(f"{d.name(f.name, False).replace('"', '`')} {d.text}" for f in df.schema if f.dataType.typeName() == "string")
+    if text:
+        writer = writer.option("createTableColumnTypes", text)
+    writer.option("url", source.base).option("dbtable", d.name(dataset)).option("truncate", "true").option("batchsize", batch_rows(len(df.columns), batch)).save()

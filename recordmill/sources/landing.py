@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # HTTP codes that are tried again, attempts, and the usual longest wait in seconds.
 RETRIED = (408, 429, 500, 502, 503, 504)
@@ -60,36 +60,31 @@ def pages(get: Callable[[str, dict], dict], url: str, params: dict | None = None
             at = None
 
 
-def offset_pages(get: Callable[[str, dict], dict], url: str, size: int = 100, most: int = 50) -> Iterator[list]:
-    """Pages by offset, up to a short one; the service's limit on requests bounds their number."""
+def offset_pages(get: Callable[[str, dict], dict], url: str, size: int = 100, most: int = 50, report: Callable[[str, int], None] = lambda kind, rows: None) -> Iterator[list]:
+    """Pages by offset, up to a short one; the service's limit on requests bounds their number, and ``report`` hears of a listing that it cut."""
     for k in range(most + 1):
         rows = get(url, {"$top": size, "$skip": k * size}).get("value") or []
         yield rows
         if len(rows) < size:
             return
+    report("cut", (most + 1) * size)
 
 
-def land(found: Iterator[list], folder: str) -> int:
-    """Store pages as files of JSON lines, one page in memory at a time; says how many rows there were."""
-    os.makedirs(folder, exist_ok=True)
+def land(spark: SparkSession, found: Iterator[list], folder: str) -> int:
+    """Store pages as JSON lines in a folder that executors can read, one page in memory at a time; says how many rows there were."""
     total = 0
-    for k, rows in enumerate(found):
-        with open(os.path.join(folder, f"page-{k:06d}.json"), "w", encoding="utf-8") as out:
-            out.writelines(json.dumps(r) + "\n" for r in rows)
+    for rows in found:
+        if rows:
+            spark.createDataFrame([(json.dumps(r),) for r in rows], "value string").coalesce(1).write.mode("append").text(folder)
         total += len(rows)
     return total
 
 
-def landed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """What was landed, with a stated schema, so that nothing is read to find one; broken lines are left out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(folder)
+BROKEN = "_broken"
 
 
-def store_documents(rows: DataFrame, path: str) -> None:
-    """Documents (run, results) by run, in place of what these runs held."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
-
-
-def document(spark: SparkSession, path: str, run: int) -> DataFrame:
-    """One run's document; only its partition is read."""
-    return spark.read.schema("results string, run int").parquet(path).where(f"run = {int(run)}")
+def landed(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """What was landed, with a stated schema, so that nothing is read to find one; and the lines (line) that don't fit it."""
+    rows = spark.read.text(folder).select("value", F.from_json("value", f"{schema}, {BROKEN} string", {"columnNameOfCorruptRecord": BROKEN}).alias("r"))
+    whole = F.col("r").isNotNull() & F.col(f"r.{BROKEN}").isNull()
+    return rows.where(whole).select("r.*").drop(BROKEN), rows.where(~whole & (F.trim("value") != "")).select(F.col("value").alias("line"))

@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from recordmill.operators import exceptions
 from recordmill.operators.timing import TERMINAL
+from recordmill.sources.keyed import KeyedTable
 
 
 def _timed(events: DataFrame, ts: str, late: str) -> DataFrame:
@@ -180,19 +181,24 @@ def sessions(events: DataFrame, key: str, ts: str, gap: int = 900, late: str = "
     return counts.select(key, F.col("w.start").alias("started"), "beats")
 
 
-def fold_stream(findings: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Fold each micro-batch of findings into the ledger: batch n reads snapshot n and writes snapshot n + 1.
+def ledger_table(spark, folder: str, buckets: int = 64) -> KeyedTable:
+    return KeyedTable(spark, folder, ["fingerprint"], exceptions.SNAPSHOT, buckets)
 
-    A batch that runs again after a failure overwrites its own snapshot, so each batch counts once. Use
-    ``ledger(spark, folder, n)`` to read one.
+
+def fold_stream(findings: DataFrame, folder: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Fold each micro-batch of findings into the ledger; run n + 1 is batch n.
+
+    A batch reads and writes only the buckets that its findings lie in, so its cost follows the batch and not the ledger.
+    It becomes visible with its number in one manifest: a batch that runs again after a failure counts once.
     """
 
     def fold(batch: DataFrame, n: int) -> None:
-        exceptions.fold(ledger(batch.sparkSession, folder, n), batch, n + 1).write.mode("overwrite").parquet(f"{folder}/{n + 1}")
+        ledger_table(batch.sparkSession, folder, buckets).merge(batch, lambda old, new: exceptions.fold(old, new, n + 1), ("batch", n))
 
     return findings.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ledger(spark, folder: str, n: int) -> DataFrame:
-    """Snapshot ``n``; snapshot 0 is empty."""
-    return spark.read.schema(exceptions.SNAPSHOT).parquet(f"{folder}/{n}") if n else spark.createDataFrame([], exceptions.SNAPSHOT)
+def ledger(spark, folder: str, n: int | None = None, buckets: int = 64) -> DataFrame:
+    """The ledger as it was after ``n`` batches, or as it is."""
+    table = ledger_table(spark, folder, buckets)
+    return table.read(table.manifest(lambda m: n is None or m["tags"].get("batch", -1) < n))

@@ -98,7 +98,7 @@ def test_pages_are_followed_and_tried_again(spark, tmp_path):
     assert list(landing.pages(lambda url, p: book[url, p.get("continuationToken")], "u", {"x": 1})) == [[{"a": 1}], [{"a": 2}], [{"a": 3}]]
     rows = [{"a": i} for i in range(250)]
     found = landing.offset_pages(lambda url, p: {"value": rows[p["$skip"] : p["$skip"] + p["$top"]]}, "u")
-    assert landing.land(found, f"{tmp_path}/p") == 250 and landing.landed(spark, f"{tmp_path}/p", "a int").count() == 250
+    assert landing.land(spark, found, f"{tmp_path}/p") == 250 and landing.landed(spark, f"{tmp_path}/p", "a int")[0].count() == 250
     assert len(list(landing.offset_pages(lambda url, p: {"value": [0] * 100}, "u"))) == 51
     tries, slept, told = iter([landing.HttpError(429, 900), landing.HttpError(503), None]), [], []
 
@@ -113,10 +113,3 @@ def test_pages_are_followed_and_tried_again(spark, tmp_path):
     with pytest.raises(landing.HttpError):
         landing.retried(lambda: (_ for _ in ()).throw(landing.HttpError(404)), lambda *a: told.append(a[0]), slept.append)
     assert told[-1] == "failure" and len(slept) == 2
-
-
-def test_documents_by_run(spark, tmp_path):
-    path = f"{tmp_path}/docs"
-    landing.store_documents(spark.createDataFrame([("{}", 1), ("{}", 2)], "results string, run int"), path)
-    landing.store_documents(spark.createDataFrame([("[]", 2)], "results string, run int"), path)
-    assert landing.document(spark, path, 2).first().results == "[]" and landing.document(spark, path, 1).count() == 1
