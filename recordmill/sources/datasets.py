@@ -62,8 +62,8 @@ class Dialect:
 
 
 ANSI = Dialect()
-#: By the word after ``jdbc:`` in a source's address.
-DIALECTS = {"derby": Dialect(guarded=False), "sqlserver": Dialect(("[", "]"), "NVARCHAR(4000)", False), "mysql": Dialect(("`", "`")), "oracle": Dialect(text="VARCHAR2(4000)", guarded=False)}
+#: By the word after ``jdbc:`` in a source's address. Spark writes nulls of text to Derby as CLOB, which no other text type there takes.
+DIALECTS = {"derby": Dialect(text="CLOB", guarded=False), "sqlserver": Dialect(("[", "]"), "NVARCHAR(4000)", False), "mysql": Dialect(("`", "`")), "oracle": Dialect(text="VARCHAR2(4000)", guarded=False)}
 
 
 def dialect_of(source: Source) -> Dialect:
@@ -277,7 +277,4 @@ def write(df: DataFrame, source: Source, dataset: str, mode: str = "append", tex
         writer.save(f"{source.base.rstrip('/')}/{dataset}")
         return
     d = dialect_of(source)
-    text = ", ".join(f"{d.name(f.name, False).replace('"', '`')} {d.text}" for f in df.schema if f.dataType.typeName() == "string")
-    if text:
-        writer = writer.option("createTableColumnTypes", text)
     writer.option("url", source.base).option("dbtable", d.name(dataset)).option("truncate", "true").option("batchsize", batch_rows(len(df.columns), batch)).save()
