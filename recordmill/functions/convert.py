@@ -129,3 +129,25 @@ def direction(delta: Column, better: Column) -> Column:
 def json_or(c: Column, schema: str, fallback: Column) -> Column:
     """Parsed JSON, ``fallback`` where it is missing or broken."""
     return F.coalesce(F.from_json(c, schema), fallback)
+
+
+#: Order of texts as people expect it; the second takes no notice of case and accents.
+COLLATION, LOOSE = "UNICODE", "UNICODE_CI_AI"
+
+
+def leading_number(c: Column) -> Column:
+    """The number that a text begins with, in digits, with a point or an exponent; null if it begins with none."""
+    found = F.regexp_extract(F.trim(c.cast("string")), r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", 0)
+    return F.nullif(found, F.lit("")).try_cast("double")
+
+
+def cell_order(c: Column, ascending: bool = True) -> list[Column]:
+    """Sort columns for the cells of a table: what begins with a number by number and first, then texts regardless of case and accents, then none.
+
+    A pairwise rule (numbers if both are, else texts) is no order where numbers and texts mix; this one agrees with it
+    among numbers and among texts.
+    """
+    number, text = leading_number(c), F.collate(F.trim(c.cast("string")), LOOSE)
+    way = (lambda x: x.asc()) if ascending else (lambda x: x.desc())
+    kind = F.when(c.isNull(), 2).when(number.isNotNull(), 0).otherwise(1)
+    return [way(kind), way(number), way(text)]

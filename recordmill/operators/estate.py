@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recordmill.functions.convert import share
+from recordmill.functions.convert import COLLATION, share
+from recordmill.operators.cluster import sequenced
 
 # Item types that only run on a dedicated capacity.
 CAPACITY_ONLY = ("lakehouse", "warehouse", "notebook", "datapipeline", "kqldatabase", "kqlqueryset", "eventstream", "eventhouse", "sparkjobdefinition", "environment", "sqldatabase", "dataflowgen2", "mlmodel", "mlexperiment")
@@ -82,6 +83,53 @@ def triage(workspaces: DataFrame, items: DataFrame, users: DataFrame, scanned: C
     return all_.select("ws", found.alias("findings"), score.alias("score"))
 
 
+#: Names that a finding's details show at most; how many there are in all is a count.
+NAMES = 20
+
+
+def _sample(rows: DataFrame, order: list[Column], name: str, most: int) -> DataFrame:
+    """(ws, ``name``): the first ``most`` values of ``rows`` (ws, value) of each workspace, in order."""
+    placed = rows.withColumn("__place", F.row_number().over(W.partitionBy("ws").orderBy(*order))).where(F.col("__place") <= most)
+    return placed.groupBy("ws").agg(F.transform(F.sort_array(F.collect_list(F.struct("__place", "value"))), lambda x: x["value"]).alias(name))
+
+
+def triage_details(triaged: DataFrame, workspaces: DataFrame, items: DataFrame, users: DataFrame, scanned: Column) -> DataFrame:
+    """(ws, finding, weight, count, days, since, names, more) of each finding of ``triage``, for readers.
+
+    ``names`` holds the admins of singleAdmin and orphanedAdmin (email, else name, in order) and the three creators with
+    most items of orphanedContent, as ``name (items)``; ``more`` says whether there are others. ``count`` is the users of
+    overShared and emptyWorkspace, the items of capacityRisk and orphanedContent. ``days`` and ``since`` are the age and
+    date of staleContent's newest item.
+    """
+    who = F.coalesce(F.nullif(F.col("email"), F.lit("")), F.nullif(F.col("name"), F.lit("")), F.lit("Unknown"))
+    admins = users.where(F.lower(F.coalesce("role", F.lit(""))) == "admin").select("ws", who.alias("value"), F.lower(F.coalesce("kind", F.lit("user"))).isin("user", "").alias("person"))
+    named = admins.groupBy("ws").agg(F.count("*").alias("admins"))
+    shown = _sample(admins, [F.desc("person"), F.asc("value")], "admin_names", NAMES)
+    by = orphaned_items(items, users).groupBy("ws", F.col("creator").alias("value")).agg(F.count("*").alias("n"))
+    made = by.groupBy("ws").agg(F.sum("n").alias("orphans"), F.count("*").alias("creators"))
+    top = _sample(by.select("ws", F.format_string("%s (%d)", "value", "n").alias("value"), "n"), [F.desc("n"), F.asc("value")], "creator_names", 3)
+    u = users.groupBy("ws").agg(F.count("*").alias("users"))
+    i = items.groupBy("ws").agg(F.max("updated").alias("latest"), F.count_if(F.lower("type").isin(*CAPACITY_ONLY)).alias("bound"))
+    all_ = triaged.select("ws", F.explode("findings").alias("finding"))
+    for part in (named, shown, made, top, u, i):
+        all_ = all_.join(part, "ws", "left")
+    is_ = lambda *keys: F.col("finding").isin(*keys)
+    weight = F.create_map(*[x for k, w in WEIGHTS.items() for x in (F.lit(k), F.lit(w))])[F.col("finding")]
+    count = F.when(is_("overShared", "emptyWorkspace"), F.col("users")).when(is_("capacityRisk"), F.col("bound")).when(is_("orphanedContent"), F.col("orphans"))
+    age = F.floor((F.unix_timestamp(scanned) - F.unix_timestamp("latest")) / 86400)
+    names = F.when(is_("orphanedContent"), F.col("creator_names")).when(is_("singleAdmin"), F.slice("admin_names", 1, 1)).when(is_("orphanedAdmin"), F.col("admin_names"))
+    more = F.when(is_("orphanedContent"), F.col("creators") > 3).when(is_("orphanedAdmin"), F.col("admins") > NAMES).otherwise(F.lit(False))
+    stale = is_("staleContent")
+    return all_.select("ws", "finding", weight.alias("weight"), count.alias("count"), F.when(stale, age).alias("days"), F.when(stale, F.to_date("latest")).alias("since"), names.alias("names"), more.alias("more"))
+
+
+def worklist(triaged: DataFrame, workspaces: DataFrame, items: DataFrame) -> DataFrame:
+    """``triaged`` with name, items and ``place``: highest score first, then most items, then name as people sort it, then id."""
+    n = items.groupBy("ws").agg(F.count("*").alias("items"))
+    named = triaged.join(workspaces.select("ws", F.coalesce("name", F.lit("Unnamed")).alias("name")), "ws", "left").join(n, "ws", "left").fillna(0, ["items"])
+    return sequenced(named, [F.desc("score"), F.desc("items"), F.collate("name", COLLATION).asc(), F.asc("ws")], "place")
+
+
 def finding_counts(triaged: DataFrame) -> DataFrame:
     """Workspaces per finding, those without any included."""
     defs = triaged.sparkSession.createDataFrame(list(WEIGHTS.items()), "finding string, weight int")

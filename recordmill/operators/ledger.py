@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordmill.functions.convert import COLLATION
+from recordmill.operators.cluster import sequenced
+
 from recordmill.operators.exceptions import CLOSED
 
 #: Columns of a listing; values and differences stay unread.
@@ -103,9 +106,35 @@ def run_detail(ledger: DataFrame, run: int, limit: int | None = None) -> DataFra
     return listing(ledger, Filter(run=run), limit)
 
 
-def findings_of(findings: DataFrame) -> DataFrame:
-    """(run, findings): each run's findings in one array; a run's findings are what one page shows."""
-    return findings.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("fingerprint", "outcome", "severity"))).alias("findings"))
+def by_business_key(rows: DataFrame, order: list[str] = ["id"]) -> DataFrame:  # noqa: B006
+    """``rows`` with ``place`` by business key as people sort it, ties by ``order``."""
+    return sequenced(rows, [F.collate(F.col("business_key").cast("string"), COLLATION).asc(), *[F.asc(c) for c in order]], "place")
+
+
+def placed(findings: DataFrame) -> DataFrame:
+    """``findings`` with ``place``, their number from 1 in all runs by run and fingerprint, in files of whole ranges of it.
+
+    Written as it is, a page of a run is a range of places, which few files and row groups hold.
+    """
+    return sequenced(findings, [F.asc("run"), F.asc("fingerprint"), F.asc("outcome"), F.asc("severity")], "place")
+
+
+def offsets(rows: DataFrame) -> DataFrame:
+    """(run, start, n): the place of each run's first finding and how many it has, from ``placed`` rows."""
+    return rows.groupBy("run").agg(F.min("place").alias("start"), F.count("*").alias("n"))
+
+
+def page(rows: DataFrame, run: int, number: int = 0, size: int = LIST_USUAL) -> DataFrame:
+    """Page ``number`` from 0 of a run's findings: one range of places, which the scan is asked for."""
+    start = offsets(rows.where(F.col("run") == run)).head()
+    first = (start["start"] if start else 0) + max(0, number) * size
+    return rows.where((F.col("run") == run) & (F.col("place") >= first) & (F.col("place") < first + size))
+
+
+def findings_of(rows: DataFrame) -> DataFrame:
+    """(run, n, first): how many findings each run has and its first fingerprint, from ``placed`` rows; ``page`` shows them."""
+    starts = offsets(rows)
+    return starts.join(rows.select(F.col("place").alias("start"), F.col("fingerprint").alias("first")), "start").select("run", "n", "first")
 
 
 def counts(rows: DataFrame, by: str) -> DataFrame:

@@ -219,6 +219,7 @@ PLANS = {
     "schedule_history": (_history, "select o_orderkey id from orders where o_orderpriority = '1-URGENT' and o_orderdate::timestamp >= timestamp '1998-08-02' - interval 400 day order by o_orderdate desc, o_orderkey limit 50"),
     "last_execution": (_executions, "select o_custkey id, (max(o_orderdate::date) filter (o_orderkey % 2 = 0))::varchar succeeded_at, (max(o_orderdate::date) filter (o_orderkey % 2 <> 0 and o_orderkey % 3 = 0))::varchar skipped_at from orders group by 1"),
     "rate_limit_first_hit": (_first_hits, FIRST),
+    "rate_limit_hot_key": (lambda s, d: live.first_hit_windows(_read(s, d, "events").withColumn("second", F.date_trunc("second", "ts")), "user_id", "second", 86400, 2, 1), FIRST),
     "retry_cap": (_tries, "select o_orderkey id, row_number() over w attempt, row_number() over w <= 3 allowed from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)"),
     "newest_events": (lambda s, d: live.newest_events(_read(s, d, "events").select("user_id", "ts", "event_id"), "user_id", "ts", 3).select("user_id", "event_id", "place"), "select user_id, event_id, n as place from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id) n from events) where n <= 3"),
     "run_counters": (_counters, "select l_orderkey run, count(*) filter (l_linenumber % 5 = 0) requests, count(*) filter (l_linenumber % 5 = 1) retries, count(*) filter (l_linenumber % 5 = 2) throttled, count(*) filter (l_linenumber % 5 = 3) failures from lineitem group by 1"),

@@ -51,6 +51,19 @@ ACROSS = PAIRS + """, x as (select p.rule, f.fingerprint, arg_min(f.outcome, f.p
  from pairs p left join m using (rule) left join v using (rule)"""
 
 
+def _page(s, d):
+    """The second page, of three rows, of the run with most findings."""
+    rows = ledger.placed(findings(s, d))
+    most = ledger.offsets(rows).orderBy(F.desc("n"), "run").head()
+    return ledger.page(rows, most["run"], 1, 3).select("fingerprint", "outcome", "severity")
+
+
+def _by_key(s, d):
+    """Business keys in capitals, with accents or neither."""
+    key = F.concat(F.element_at(F.array(*map(F.lit, ("Öl", "ol", "OL", "Ab", "ab", "Äb"))), (F.col("id") % 6 + 1).cast("int")), F.col("id").cast("string"))
+    return ledger.by_business_key(exceptions(s, d).withColumn("business_key", key)).select("id", "place")
+
+
 def _outcomes(s, d):
     f = findings(s, d)
     return compare.outcome_deltas(f.where("run % 2 = 0"), f.where("run % 2 = 1 and outcome <> 'duplicate'"))
@@ -132,7 +145,9 @@ PLANS = {
     "findings_run_left_join": (lambda s, d: ledger.with_run(findings(s, d), runs(s, d).where("run % 5 <> 0")).groupBy("rule_name").agg(F.count("*").alias("total")), _sql(f=FINDINGS, r=RUNS) + " select r.rule_name, count(*) total from f left join (select * from r where run % 5 <> 0) r using (run) group by 1"),
     "missing_detail_notice": (lambda s, d: ledger.missing_detail(runs(s, d), findings(s, d)).select("run"), _sql(f=FINDINGS, r=RUNS) + " select run from r where exception_count > 0 and run not in (select run from f)"),
     "run_detail": (lambda s, d: ledger.run_detail(exceptions(s, d), 7).select("id", "status"), L + " select id, status from l where last_run = 7 order by case severity when 'high' then 0 when 'medium' then 1 else 2 end, last_seen desc, id limit 500"),
-    "findings_by_run": (lambda s, d: ledger.findings_of(findings(s, d)).select("run", F.size("findings").alias("n"), F.get("findings", F.lit(0))["fingerprint"].alias("first")), _sql(f=FINDINGS) + " select run, count(*) n, min(fingerprint) as first from f group by 1"),
+    "findings_by_run": (lambda s, d: ledger.findings_of(ledger.placed(findings(s, d))), _sql(f=FINDINGS) + " select run, count(*) n, min(fingerprint) as first from f group by 1"),
+    "findings_page": (_page, _sql(f=FINDINGS) + ", r as (select max(run) run from f group by f.run order by count(*) desc, f.run limit 1) select fingerprint, outcome, severity from f where run = (select run from r) order by fingerprint, outcome, severity limit 3 offset 3"),
+    "exceptions_sort": (_by_key, _sql(l=LEDGER) + ", k as (select *, ['Öl', 'ol', 'OL', 'Ab', 'ab', 'Äb'][(id % 6 + 1)::int] || id as named from l) select id, row_number() over (order by lower(strip_accents(named)), id) place from k"),
     "panel_outcome": (lambda s, d: ledger.panels(registry_table(s, d), exceptions(s, d), runs(s, d), findings(s, d), F.lit("1998-08-31").cast("date"))["outcome"], L + f" select outcome, count(*) total from l where {OPEN} group by 1"),
     "panel_severity": (lambda s, d: ledger.panels(registry_table(s, d), exceptions(s, d), runs(s, d), findings(s, d), F.lit("1998-08-31").cast("date"))["severity"], L + f" select severity, count(*) total from l where {OPEN} group by 1"),
     "panel_rules": (lambda s, d: ledger.counts(registry_table(s, d), "status"), _sql(r=RULES.replace("as string", "as varchar")) + " select status, count(*) total from r group by 1"),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recordmill.operators import estate, timing
+from recordmill.functions import convert
+from recordmill.operators import cluster, estate, timing
 from recordmill.streaming import live
 
 from .records import _read
@@ -44,6 +45,21 @@ def _triaged(s, d):
     return estate.triage(_workspaces(s, d), _items(s, d), _users(s, d), F.expr(NOW))
 
 
+def _worklist(s, d):
+    named = _read(s, d, "supplier").selectExpr("s_suppkey ws", "s_name name")
+    return estate.worklist(_triaged(s, d), named, _items(s, d)).select("ws", "name", "score", "items", "place")
+
+
+def _details(s, d):
+    found = estate.triage_details(_triaged(s, d), _workspaces(s, d), _items(s, d), _users(s, d), F.expr(NOW))
+    return found.withColumn("names", F.array_join("names", ","))
+
+
+def _cells(s, d):
+    cells = _read(s, d, "part").selectExpr("p_partkey k", "case p_partkey % 5 when 0 then concat(p_size, ' mm') when 1 then concat('-', p_size, '.5') when 2 then upper(p_name) when 3 then concat('é', p_name) end v")
+    return cluster.sequenced(cells, [*convert.cell_order(F.col("v")), F.asc("k")], "place").select("k", "place")
+
+
 def _snapshots(s, d):
     orders = _read(s, d, "orders")
     before = orders.where("o_orderkey % 11 <> 0").selectExpr("o_orderkey", "o_orderstatus state", "case when o_orderkey % 5 = 0 then null else o_orderpriority end label")
@@ -101,6 +117,15 @@ def _liveness(s, d):
 
 PLANS = {
     "triage": (lambda s, d: _triaged(s, d).select("ws", F.array_join("findings", ",").alias("findings"), "score"), TRIAGE + "select ws, array_to_string(found, ',') findings, coalesce(cast((select sum(weight) from x join k using (finding) where x.ws = f.ws) as bigint), 0) score from f"),
+    "triage_worklist": (_worklist, TRIAGE + ", y as (select ws, coalesce(sum(weight), 0)::bigint score from f left join x using (ws) left join k using (finding) group by 1) select ws, s_name as name, score, items, row_number() over (order by score desc, items desc, s_name, ws) place from y join j using (ws) join supplier on s_suppkey = ws"),
+    "triage_details": (_details, TRIAGE + """, a as (select ws, list(who order by person desc, who) who, count(*) n from (select u.ws, u.who, coalesce(u.person, false) person from u where adm) group by 1),
+ o as (select ws, who, count(*) n from i where who not in (select who from u) group by all), t as (select ws, list(upper(who) || ' (' || n || ')' order by n desc, who)[:3] top, count(*) creators from o group by 1)
+ select x.ws, finding, weight, case when finding in ('overShared', 'emptyWorkspace') then users when finding = 'capacityRisk' then bound when finding = 'orphanedContent' then orphans end as count,
+ case when finding = 'staleContent' then floor(epoch(timestamp '1998-08-02' - latest) / 86400)::bigint end as days, case when finding = 'staleContent' then latest::date end as since,
+ array_to_string(case finding when 'orphanedContent' then top when 'singleAdmin' then a.who[:1] when 'orphanedAdmin' then a.who[:20] end, ',') as names,
+ case finding when 'orphanedContent' then creators > 3 when 'orphanedAdmin' then a.n > 20 else false end as more from x join k using (finding) join j using (ws) left join a using (ws) left join t using (ws)"""),
+    "table_sort": (_cells, """with c as (select p_partkey k, case p_partkey % 5 when 0 then p_size || ' mm' when 1 then '-' || p_size || '.5' when 2 then upper(p_name) when 3 then 'é' || p_name end v from part),
+ o as (select k, v, try_cast(regexp_extract(v, '^-?[0-9.]+') as double) n from c) select k, row_number() over (order by case when v is null then 2 when n is not null then 0 else 1 end, n, lower(strip_accents(v)), k) place from o"""),
     "triage_counts": (lambda s, d: estate.finding_counts(_triaged(s, d)), TRIAGE + "select finding, weight, count(x.ws) total from k left join x using (finding) group by all"),
     "orphaned_content": (lambda s, d: estate.orphaned_items(_items(s, d), _users(s, d)).groupBy("ws").agg(F.count("*").alias("orphans")), TRIAGE + "select ws, orphans from ia where orphans > 0"),
     "item_families": (lambda s, d: _items(s, d).groupBy("ws", estate.family(F.col("type")).alias("family")).agg(F.count("*").alias("items")), TRIAGE + "select ws, (['report','lakehouse','dashboard','model','dataflow','other'])[t + 1] family, count(*) items from i group by all"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordmill.functions import text as tx
-from recordmill.operators import master
+from recordmill.operators import master, simjoin
 from recordmill.operators.survive import Keep, survivors
 
 
@@ -74,6 +74,8 @@ PLANS = {
     "soundex_codes": (lambda s, d: _read(s, d, "part").select("p_name").distinct().select("p_name", tx.soundex(F.col("p_name")).alias("code")), SOUNDEX),
     "edit_similarity": (_pairs(tx.edit_similarity), PAIRS + "select l, r, round(1 - levenshtein(l, r) / greatest(length(l), length(r))::double, 6) score from p"),
     "token_jaccard": (_pairs(tx.token_jaccard), PAIRS + "select l, r, round(len(list_intersect(string_split(l,' '), string_split(r,' '))) / len(list_distinct(list_concat(string_split(l,' '), string_split(r,' '))))::double, 6) score from p"),
+    "jaccard_join": (lambda s, d: simjoin.jaccard_join(_read(s, d, "part").select(F.col("p_name").alias("id"), simjoin.token_sets(F.col("p_name")).alias("tokens")).distinct(), 1 / 3).select("l", "r", F.round("score", 6).alias("score")), PAIRS + "select * from (select l, r, round(len(list_intersect(string_split(l,' '), string_split(r,' '))) / len(list_distinct(list_concat(string_split(l,' '), string_split(r,' '))))::double, 6) score from p) where score >= 0.333333"),
+    "edit_join": (lambda s, d: simjoin.edit_join(_read(s, d, "part").select(F.col("p_name").alias("id"), F.col("p_name").alias("text")).distinct(), 0.6).select("l", "r", F.round("score", 6).alias("score")), PAIRS + "select * from (select l, r, round(1 - levenshtein(l, r) / greatest(length(l), length(r))::double, 6) score from p) where score >= 0.6"),
     "block_pairs": (lambda s, d: master.block_pairs(_blocked(s, d)), SYSTEMS + "select a.id l, b.id r from s a join s b on a.digits = b.digits and a.id < b.id"),
     "block_stats": (lambda s, d: master.block_stats(_blocked(s, d)), SYSTEMS + "select count(*) blocks, max(n) largest_block from (select count(*) n from s group by digits)"),
     "golden_records": (_golden, SYSTEMS + ", f as (select *, count(segment) over (partition by digits, segment) n from s) select digits, count(*) member_count, arg_min(segment, trust) segment_trusted, arg_min(segment, (-n) * 10 + trust) segment_frequent, count(distinct segment) segment_values from f group by digits"),

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from recordmill.operators import exceptions
+from recordmill.operators.cluster import cut
 from recordmill.operators.timing import TERMINAL
 from recordmill.sources.keyed import KeyedTable
 
@@ -45,8 +46,16 @@ def windows_of(times: list[int], start: int | None, count: int, size: int) -> tu
     return over, start, count
 
 
-def first_hit_windows(events: DataFrame, key: str, ts: str, seconds: int = 60, limit: int = 120) -> DataFrame:
-    """(key, start, hits, limited) of windows that begin at a key's first hit. Each task reads its keys in order and holds one window."""
+#: Hits of a key that one task walks through; a key with more is spread by pointer jumping.
+HOT_HITS = 1_000_000
+
+
+def first_hit_windows(events: DataFrame, key: str, ts: str, seconds: int = 60, limit: int = 120, hot: int = HOT_HITS) -> DataFrame:
+    """(key, start, hits, limited) of windows that begin at a key's first hit.
+
+    A task reads its keys in order and holds one window. Keys of more than ``hot`` hits aren't walked through: see
+    ``jumped_windows``. Rows without key or time take no part.
+    """
     size = seconds * 1000
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,10 +75,48 @@ def first_hit_windows(events: DataFrame, key: str, ts: str, seconds: int = 60, l
 
     kind = events.schema[key].dataType.simpleString()
     rows = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("k"), F.unix_millis(F.col(ts).cast("timestamp")).alias("t"))
-    found = rows.repartition("k").sortWithinPartitions("k", "t").mapInPandas(scan, f"k {kind}, s long, n long")
+    large = rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("k")
+    some = bool(large.take(1))
+    few = rows.join(large, "k", "left_anti") if some else rows
+    found = few.repartition("k").sortWithinPartitions("k", "t").mapInPandas(scan, f"k {kind}, s long, n long")
+    if some:
+        found = found.unionByName(jumped_windows(rows.join(large, "k", "left_semi"), size))
     return found.select(F.col("k").alias(key), F.timestamp_millis("s").alias("start"), F.col("n").alias("hits"), (F.col("n") > limit).alias("limited"))
 
 
+def jumped_windows(rows: DataFrame, size: int) -> DataFrame:
+    """(k, s, n) of the first-hit windows of ``rows`` (k, t in milliseconds), a key's hits spread over all tasks.
+
+    Each distinct time points at the first one at least ``size`` later, which begins the next window if it begins one
+    itself. It lies in the span of ``size`` that holds t + ``size``, or else it is the first time of the key's next span
+    that has any; so only spans are looked through, not keys. Which times begin a window follows by doubling: from the
+    first 2**i beginnings a jump over 2**i windows finds as many more, and jumps are joined with themselves.
+    """
+    times = cut(rows.groupBy("k", "t").agg(F.count("*").alias("n")).withColumn("b", F.floor(F.col("t") / size)))
+    spans = times.groupBy("k", "b").agg(F.min("t").alias("first"))
+    asked = times.select("k", (F.col("b") + 1).alias("b"), (F.col("t") + size).alias("at"), F.col("t").alias("own"), F.lit(None).cast("long").alias("hit"))
+    seen = asked.unionByName(times.select("k", "b", F.col("t").alias("at"), F.lit(None).cast("long").alias("own"), F.col("t").alias("hit")))
+    within = W.partitionBy("k", "b").orderBy(F.desc("at"), F.col("hit").isNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = seen.withColumn("next", F.min("hit").over(within)).where("own is not null").select("k", "b", "own", "next")
+    # Where that span holds nothing late enough, the key's next span begins the answer: a row for each span, not each time.
+    missing = found.where("next is null").select("k", "b", "own")
+    gaps = missing.select("k", "b", F.lit(None).cast("long").alias("first")).distinct().unionByName(spans)
+    ahead = W.partitionBy("k").orderBy(F.desc("b"), F.col("first").isNotNull()).rowsBetween(W.unboundedPreceding, -1)
+    following = gaps.withColumn("next", F.min("first").over(ahead)).where("first is null").select("k", "b", "next")
+    filled = missing.join(following, ["k", "b"]).select("k", "own", "next")
+    jump = cut(found.where("next is not null").select("k", "own", "next").unionByName(filled.where("next is not null")))
+    starts = cut(times.groupBy("k").agg(F.min("t").alias("s")))
+    while not jump.isEmpty():
+        more = starts.join(jump.withColumnRenamed("own", "s"), ["k", "s"]).select("k", F.col("next").alias("s"))
+        starts = cut(starts.unionByName(more))
+        far = jump.select("k", F.col("own").alias("next"), F.col("next").alias("over"))
+        jump = cut(jump.join(far, ["k", "next"]).select("k", "own", F.col("over").alias("next")))
+    # A window reaches into its own span and the next one.
+    reach = starts.select("k", "s", F.explode(F.array(F.floor(F.col("s") / size), F.floor(F.col("s") / size) + 1)).alias("b"))
+    inside = times.join(reach, ["k", "b"]).where((F.col("t") >= F.col("s")) & (F.col("t") < F.col("s") + size))
+    return inside.groupBy("k", "s").agg(F.sum("n").alias("n"))
+
+
 def first_hit_stream(events: DataFrame, key: str, ts: str, seconds: int = 60, limit: int = 120) -> DataFrame:
     """As ``first_hit_windows``, on a stream: each batch gives the windows that it touched. Hits are taken in the order of a batch's times."""
     size = seconds * 1000
