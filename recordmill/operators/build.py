@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordmill.functions import text as tx
@@ -13,6 +13,7 @@ from recordmill.operators import cluster, master, registry
 from recordmill.operators.score import Feature, explain_pairs
 from recordmill.operators.survive import Keep, survivors, trust
 from recordmill.sources import datasets
+from recordmill.sources.keyed import KeyedTable
 
 # The comparators by name, on two standardised texts.
 COMPARATORS: dict[str, Callable[[Column, Column], Column]] = {
@@ -151,6 +152,25 @@ def decide(review: DataFrame, decisions: DataFrame) -> DataFrame:
     return both.withColumn("review", F.coalesce("new", "review")).drop("new")
 
 
+def review_table(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTable:
+    """Pairs for review of all runs, kept by run and pair."""
+    return KeyedTable(spark, path, ["run", "l", "r"], "run int, l string, r string, score double, review string", buckets)
+
+
+def save_review(table: KeyedTable, run: int, review: DataFrame) -> None:
+    table.upsert(review.select(F.lit(run).alias("run"), F.col("l").cast("string").alias("l"), F.col("r").cast("string").alias("r"), "score", "review"))
+
+
+def decide_stored(table: KeyedTable, run: int, decisions: DataFrame) -> None:
+    """``decide`` on a stored run: only the buckets of the decided pairs are read and written."""
+    asked = decisions.where(F.col("review").isin("match", "not_match", "pending")).select(F.lit(run).alias("run"), F.col("l").cast("string").alias("l"), F.col("r").cast("string").alias("r"), "review")
+
+    def how(old: DataFrame, new: DataFrame) -> DataFrame:
+        return decide(old.where(F.col("run") == run), new).unionByName(old.where(F.col("run") != run))
+
+    table.merge(asked, how)
+
+
 def published(golden: DataFrame, fields: list[str]) -> DataFrame:
     """The rows that are written: golden id, the fields' values, source systems in one text and the number of records."""
     return golden.select("golden_id", *[F.col(f"{f}.value").alias(f) for f in fields], F.array_join("source_systems", ", ").alias("source_systems"), F.col("member_count").alias("source_record_count"))

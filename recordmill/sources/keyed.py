@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +26,34 @@ class Conflict(Exception):
     """Another change took the number of this one."""
 
 
-class KeyedTable:
-    """A table at ``path``. ``by`` are the key columns whose hash chooses the bucket, all of ``keys`` unless given."""
+@dataclass(frozen=True)
+class Step:
+    """A numbered change of a table's schema: ``schema`` is what holds after it, ``apply`` makes it of rows before it.
+
+    ``apply`` may add, drop or rename columns and fill them from the row's others, but not change keys.
+    """
+
+    number: int
+    name: str
+    schema: str
+    apply: Callable[[DataFrame], DataFrame]
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str, buckets: int = 64, by: list[str] | None = None):
-        self.spark, self.path, self.keys, self.by, self.buckets = spark, path.rstrip("/"), keys, by or keys, buckets
-        self.schema = StructType.fromDDL(schema)
+
+class KeyedTable:
+    """A table at ``path``. ``by`` are the key columns whose hash chooses the bucket, all of ``keys`` unless given.
+
+    ``schema`` is what the table began with, ``steps`` what it went through since, by ascending number. A manifest says
+    of each bucket after which step it was written; rows are brought forward as they are read, and a bucket is written in
+    the newest form when it is changed next. So a step costs nothing when it is declared, and old and new files read alike.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str, buckets: int = 64, by: list[str] | None = None, steps: tuple[Step, ...] = ()):
+        self.spark, self.path, self.keys, self.by, self.buckets, self.steps = spark, path.rstrip("/"), keys, by or keys, buckets, steps
+        if [s.number for s in steps] != sorted({s.number for s in steps}) or any(s.number < 1 for s in steps):
+            raise ValueError("steps need ascending numbers from 1")
+        self.schemas = {0: StructType.fromDDL(schema)} | {s.number: StructType.fromDDL(s.schema) for s in steps}
+        self.newest = max(self.schemas)
+        self.schema = self.schemas[self.newest]
         where = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -57,16 +81,41 @@ class KeyedTable:
             found = self._load(number)
             if found is not None and fits(found):
                 return found
-        return {"version": 0, "buckets": {}, "tags": {}}
+        return {"version": 0, "buckets": {}, "steps": {}, "tags": {}}
 
     def bucketed(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("__bucket", F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.by]), F.lit(self.buckets)).cast("int"))
 
     def read(self, manifest: dict | None = None, buckets: list[int] | None = None) -> DataFrame:
-        """The rows of a manifest, the newest unless given. Files of older schemas read with nulls for what they lack."""
-        known = (manifest or self.manifest())["buckets"]
-        paths = [f"{self.path}/{p}" for b, p in known.items() if buckets is None or int(b) in buckets]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        """The rows of a manifest, the newest unless given, in the newest form."""
+        manifest = manifest or self.manifest()
+        by_step: dict[int, list[str]] = {}
+        for b, p in manifest["buckets"].items():
+            if buckets is None or int(b) in buckets:
+                by_step.setdefault(manifest.get("steps", {}).get(b, 0), []).append(f"{self.path}/{p}")
+        if unknown := set(by_step) - set(self.schemas):
+            raise ValueError(f"written after steps {sorted(unknown)}, which aren't declared here")
+        out = None
+        for step, paths in sorted(by_step.items()):
+            rows = self.spark.read.schema(self.schemas[step]).parquet(*paths)
+            for later in self.steps:
+                if later.number > step:
+                    rows = later.apply(rows).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schemas[later.number]])
+            out = rows if out is None else out.unionByName(rows)
+        return self.spark.createDataFrame([], self.schema) if out is None else out
+
+    def applied(self) -> list[tuple[int, int]]:
+        """(step, buckets) of how many buckets were written after which step."""
+        now = self.manifest()
+        return sorted(Counter(now.get("steps", {}).get(b, 0) for b in now["buckets"]).items())
+
+    def migrate(self) -> int:
+        """Write the buckets that are older than the newest step in its form; says how many. Run again it does nothing."""
+        now = self.manifest()
+        old = [int(b) for b in now["buckets"] if now.get("steps", {}).get(b, 0) != self.newest]
+        if old:
+            self._put(now, self.read(now, old), old, None)
+        return len(old)
 
     def find(self, keys: DataFrame) -> DataFrame:
         """The rows of some keys; only their buckets are read."""
@@ -85,23 +134,28 @@ class KeyedTable:
         if tag and now["tags"].get(tag[0], -1) >= tag[1]:
             return now
         touched = self._touched(self.bucketed(rows))
+        return self._put(now, how(self.read(now, touched), rows) if touched else None, touched, tag)
+
+    def _put(self, now: dict, rows: DataFrame | None, touched: list[int], tag: tuple[str, int] | None) -> dict:
         kept = {b: p for b, p in now["buckets"].items() if int(b) not in touched}
-        if touched:
+        steps = {b: n for b, n in now.get("steps", {}).items() if b in kept}
+        if rows is not None:
             folder = f"data/{uuid.uuid4().hex}"
-            new = self.bucketed(how(self.read(now, touched), rows).select(*self.schema.names))
+            new = self.bucketed(rows.select(*self.schema.names))
             new.repartition(min(len(touched), self.buckets), "__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
             for f in self._fs.listStatus(self._at(folder)):
                 name = f.getPath().getName()
                 if name.startswith("__bucket="):
-                    kept[name.split("=")[1]] = f"{folder}/{name}"
-        return self._commit(now, kept, tag)
+                    bucket = name.split("=")[1]
+                    kept[bucket], steps[bucket] = f"{folder}/{name}", self.newest
+        return self._commit(now, kept, steps, tag)
 
-    def _commit(self, now: dict, buckets: dict, tag: tuple[str, int] | None) -> dict:
+    def _commit(self, now: dict, buckets: dict, steps: dict, tag: tuple[str, int] | None) -> dict:
         number = max([now["version"], *self._numbers()[-1:]]) + 1
         newest = self.manifest()["version"]
         if newest != now["version"]:
             raise Conflict(f"version {newest} appeared after {now['version']} was read")
-        made = {"version": number, "buckets": buckets, "tags": now["tags"] | dict([tag] if tag else [])}
+        made = {"version": number, "buckets": buckets, "steps": steps, "tags": now["tags"] | dict([tag] if tag else [])}
         try:
             out = self._fs.create(self._at(f"manifest/{number:010d}.json"), False)
         except Exception as e:

@@ -9,7 +9,7 @@ from recordmill.functions import convert
 from recordmill.operators import build, exceptions, scan
 from recordmill.sources import datasets as ds
 from recordmill.sources import landing
-from recordmill.sources.keyed import Conflict, KeyedTable
+from recordmill.sources.keyed import Conflict, KeyedTable, Step
 from recordmill.sources.scan_store import ScanStore, shredded
 from recordmill.streaming import live
 
@@ -54,10 +54,37 @@ def test_a_change_that_dies_changes_nothing(spark, tmp_path):
     assert rows_of(table) == [(1, "a"), (2, "b")] and table.manifest()["version"] == 3
     old = table.manifest(lambda m: m["version"] == 1)
     with pytest.raises(Conflict):
-        table._commit(old, {}, None)
-    wider = KeyedTable(spark, f"{tmp_path}/t", ["k"], "k long, v string, w int", 4)
-    wider.upsert(spark.sql("select 2L k, 'c' v, 5 w"))
-    assert rows_of(wider) == [(1, "a", None), (2, "c", 5)]
+        table._commit(old, {}, {}, None)
+
+
+def test_schema_steps(spark, tmp_path):
+    steps = (
+        Step(1, "add w", "k long, v string, w int", lambda df: df.withColumn("w", F.length("v"))),
+        Step(2, "rename v", "k long, name string, w int", lambda df: df.withColumnRenamed("v", "name")),
+    )
+    made = lambda n: KeyedTable(spark, f"{tmp_path}/t", ["k"], "k long, v string", 8, steps=steps[:n])
+    made(0).upsert(spark.range(100).selectExpr("id k", "concat('v', id) v"))
+    made(1).upsert(spark.sql("select 7L k, 'new' v, 70 w"))
+    new = made(2)
+    assert new.read().columns == ["k", "name", "w"] and new.read().count() == 100
+    assert sorted(map(tuple, new.find(spark.sql("select 7L k union all select 11L")).collect())) == [(7, "new", 70), (11, "v11", 3)]
+    assert [n for n, _ in new.applied()] == [0, 1]
+    before = rows_of(new)
+    assert new.migrate() == 8 and new.migrate() == 0 and [n for n, _ in new.applied()] == [2]
+    assert rows_of(new) == before
+    with pytest.raises(ValueError):
+        made(1).read()
+    with pytest.raises(ValueError):
+        KeyedTable(spark, f"{tmp_path}/t", ["k"], "k long", steps=steps[::-1])
+
+
+def test_decisions_are_kept_by_pair(spark, tmp_path):
+    table = build.review_table(spark, f"{tmp_path}/r", 16)
+    build.save_review(table, 3, spark.range(200).selectExpr("cast(id as string) l", "cast(id + 1 as string) r", "0.8D score", "'pending' review"))
+    before = files(tmp_path)
+    build.decide_stored(table, 3, spark.sql("select '5' l, '6' r, 'match' review union all select '9', '10', 'nonsense' union all select '0', '7', 'match'"))
+    assert len(files(tmp_path) - before) <= 2 and table.read().count() == 200
+    assert [(r.l, r.review) for r in table.read().where("review <> 'pending'").collect()] == [("5", "match")]
 
 
 def test_a_batch_counts_once_and_costs_its_buckets(spark, tmp_path):
