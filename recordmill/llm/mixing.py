@@ -1,9 +1,12 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
-Token counts are summed in cells of source, language and topic. Raking scales the cells to each target marginal in
-turn, ``rounds`` times; a cell's factor is its raked share over its share, and a document stays with probability
-factor * min(``keep``, 1 / largest factor), decided by the MD5 digest of its id, so that repeated rows share their fate.
-No cell's probability is cut at 1, so the sample's expected shares are the raked ones.
+Token counts are summed in cells of source, language and topic, and the cells of a sample are raked to each target
+marginal in turn, ``rounds`` times. The sample holds the share ``keep`` of all tokens, or the largest share at which every
+group has enough tokens for its target: a group that is asked for a tenth of the sample but holds a twentieth of the
+corpus allows half. No cell gives more than it has: one that a round asks for more is fixed at all of its tokens, and the
+other cells of its groups are raked to what is left, so a small cell that is wanted much doesn't make the sample small. A
+document stays with its cell's probability, decided by the MD5 digest of its id, so that repeated rows share their fate.
+Where cells contradict each other (a source that has one language only), the targets of the last dimension hold best.
 
 Targets not given are the corpus' own marginals raised to ``temper`` and normalised: large groups give way to small
 ones. A target table may leave groups out: they divide what the listed ones leave of 1 in the proportions of their
@@ -72,19 +75,32 @@ def aims(cells: DataFrame, d: str, wanted: DataFrame | None, temper: float) -> D
     return raw.crossJoin(total).select(d, aim.alias(f"aim_{d}"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = 8, temper: dict[str, float] | None = None) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``factor``, the raked share over the share. A target has the dimension and ``share``."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = 8, temper: dict[str, float] | None = None, keep: float = 0.8) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens) with ``w``, the share of the sample, ``factor``, that share over the corpus's, and ``chance``.
+
+    A target has the dimension and ``share``.
+    """
     total = cells.agg(F.sum("tokens").alias("total"))
-    now = staged(cells.crossJoin(F.broadcast(total)).withColumn("w", F.col("tokens") / F.col("total")), "mix-cells")  # total is one row
+    now = staged(cells.crossJoin(F.broadcast(total)), "mix-cells")  # total is one row
     for d in DIMS:
         now = now.join(aims(now, d, (targets or {}).get(d), (temper or TEMPER)[d]), d)
     now = staged(now, "mix-aims")
+    # A group holds cells, as many as the other dimensions have combinations, never documents.
+    holds = [F.when(F.col(f"aim_{d}") > 0, F.sum("tokens").over(W.partitionBy(d)) / F.col("total") / F.expr(f"nullif(aim_{d}, 0)")) for d in DIMS]
+    size = now.select(F.least(*holds).alias("x")).agg(F.least(F.lit(keep), F.coalesce(F.min("x"), F.lit(keep))).alias("size"))
+    now = staged(now.crossJoin(F.broadcast(size)).withColumn("x", F.col("tokens") * F.col("size")), "mix-sizes")  # size is one row
     for _ in range(rounds):
-        for d in DIMS:  # a group holds cells, as many as the other dimensions have combinations, never documents
-            scaled = F.col("w") * F.col(f"aim_{d}") / F.nullif(F.sum("w").over(W.partitionBy(d)), F.lit(0.0))
-            now = now.withColumn("w", F.coalesce(scaled, F.lit(0.0)))
+        for d in DIMS:
+            own = W.partitionBy(d)
+            full = F.col("x") >= F.col("tokens")
+            wanted, there = F.col("total") * F.col("size") * F.col(f"aim_{d}"), F.sum("x").over(own)
+            fixed, free = F.sum(F.when(full, F.col("tokens")).otherwise(0)).over(own), F.sum(F.when(full, 0.0).otherwise(F.col("x"))).over(own)
+            less = F.col("x") * wanted / F.nullif(there, F.lit(0.0))
+            more = F.when(full, F.col("tokens").cast("double")).otherwise(F.least(F.col("tokens").cast("double"), F.col("x") * (wanted - fixed) / F.nullif(free, F.lit(0.0))))
+            now = now.withColumn("x", F.coalesce(F.when(wanted <= there, less).otherwise(more), F.lit(0.0)))
         now = staged(now, "mix-cells")
-    return now.select(*DIMS, "tokens", "w", (F.col("w") * F.col("total") / F.col("tokens")).alias("factor"))
+    chance, share = F.col("x") / F.col("tokens"), F.col("x") / (F.col("total") * F.col("size"))
+    return now.select(*DIMS, "tokens", share.alias("w"), (chance / F.col("size")).alias("factor"), chance.alias("chance"))
 
 
 def uniform(id_: Column) -> Column:
@@ -99,10 +115,7 @@ def mixed(docs: DataFrame, keep: float = 0.8, targets: dict[str, DataFrame] | No
     cell, = fresh([*docs.columns, topic_, tokens, chance_, kept], "__cell")
     rows = with_cells(docs, cell)
     cells = rows.groupBy(*[F.col(f"{cell}.{d}").alias(d) for d in DIMS]).agg(F.sum(f"{cell}.tokens").alias("tokens"))
-    raked = rake(cells, targets, rounds)
-    most = raked.agg(F.max("factor").alias("most"))  # one row
-    scaled = F.least(F.lit(1.0), F.col("factor") * F.least(F.lit(keep), 1 / F.col("most")))  # least: rounding only
-    chance = raked.crossJoin(F.broadcast(most)).select(F.struct(*DIMS).alias("cell"), scaled.alias("chance"))
+    chance = rake(cells, targets, rounds, keep=keep).select(F.struct(*DIMS).alias("cell"), "chance")
     joined = rows.join(chance, F.struct(*[F.col(f"{cell}.{d}") for d in DIMS]) == chance["cell"])
     u = uniform(docs["doc_id"])
     return joined.select(*[docs[f"`{c}`"] for c in docs.columns], F.col(f"{cell}.topic").alias(topic_), F.col(f"{cell}.tokens").alias(tokens), chance["chance"].alias(chance_), (u < chance["chance"]).alias(kept))
@@ -127,19 +140,23 @@ def oracle(rounds: int = 8, keep: float = 0.8) -> str:
     cases = " ".join(f"when contains(coalesce(text,''),'{n}') then '{t}'" for n, t in TOPICS)
     steps = [
         f"d as materialized (select doc_id, coalesce(source,'(none)') source, coalesce(lang,'(none)') lang, case {cases} else 'prose' end topic, greatest(1, ceil(length(coalesce(text,''))/4.0))::bigint tokens from documents)",
-        "c0 as materialized (select source, lang, topic, sum(tokens) tokens, sum(tokens)/(select sum(tokens) from d)::double w from d group by all)",
+        "b as materialized (select source, lang, topic, sum(tokens)::double tokens, (select sum(tokens) from d)::double total from d group by all)",
     ]
     for x in DIMS:
         wanted = " union all ".join(f"select '{g}' g, {v}::double share" for g, v in TARGETS.get(x, {}).items()) or "select null::varchar g, null::double share where false"
-        steps.append(f"o_{x} as materialized (select {x}, pow(sum(tokens)::double, {TEMPER[x]}) p, max(t.share) share from c0 left join ({wanted}) t on t.g = c0.{x} group by {x})")
+        steps.append(f"o_{x} as materialized (select {x}, pow(sum(tokens)::double, {TEMPER[x]}) p, max(t.share) share from b left join ({wanted}) t on t.g = b.{x} group by {x})")
         steps.append(f"x_{x} as materialized (select {x}, coalesce(share, greatest(0, 1 - coalesce(sum(share) over (), 0)) * p / sum(case when share is null then p end) over ()) x from o_{x})")
-        steps.append(f"a_{x} as materialized (select {x}, x/sum(x) over () aim from x_{x})")
+        steps.append(f"a_{x} as materialized (select {x}, x/sum(x) over () aim_{x} from x_{x})")
+    holds = ", ".join(f"sum(tokens) over (partition by {x}) / total / nullif(aim_{x}, 0)" for x in DIMS)
+    steps.append("j as materialized (select * from b " + " ".join(f"join a_{x} using ({x})" for x in DIMS) + ")")
+    steps.append(f"c0 as materialized (select *, tokens * size x from j, (select least({keep}, min(h)) size from (select least({holds}) h from j)))")
     n = 0
     for _ in range(rounds):
-        for x in DIMS:
-            steps.append(f"c{n + 1} as materialized (select source, lang, topic, tokens, w*aim/sum(w) over (partition by {x}) w from c{n} join a_{x} using ({x}))")
+        for d in DIMS:
+            inner = f"select *, total * size * aim_{d} wanted, sum(x) over (partition by {d}) there, coalesce(sum(tokens) filter (x >= tokens) over (partition by {d}), 0) fixed, coalesce(sum(x) filter (x < tokens) over (partition by {d}), 0) free from c{n}"
+            new = "coalesce(case when wanted <= there then x * wanted / nullif(there, 0) when x >= tokens then tokens else least(tokens, x * (wanted - fixed) / nullif(free, 0)) end, 0)"
+            steps.append(f"c{n + 1} as materialized (select source, lang, topic, tokens, total, size, {', '.join(f'aim_{x}' for x in DIMS)}, {new} x from ({inner}))")
             n += 1
-    steps.append(f"r as materialized (select source, lang, topic, w*(select sum(tokens) from c{n})/tokens r from c{n})")
-    steps.append(f"f as materialized (select source, lang, topic, least(1.0, r*least({keep}, 1/(select max(r) from r))) p from r)")
+    steps.append(f"f as materialized (select source, lang, topic, x / tokens p from c{n})")
     u = "('0x' || substr(md5(coalesce(doc_id::varchar,'')),1,13))::bigint / 4503599627370496.0"
-    return "with " + ", ".join(steps) + f" select doc_id, topic, tokens, round(p, 6) probability, {u} < p as sampled from d join f using (source, lang, topic)"
+    return "with " + ", ".join(steps) + f" select doc_id, topic, d.tokens, round(p, 6) probability, {u} < p as sampled from d join f using (source, lang, topic)"

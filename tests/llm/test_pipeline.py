@@ -53,23 +53,25 @@ def raked(rows, keep=0.8, rounds=8):
     for i, t, *_ in rows:
         tokens[cell[i]] += max(1, math.ceil(len(t or "") / 4))
     total = sum(tokens.values())
-    w = {c: n / total for c, n in tokens.items()}
-    aims = []
+    aims, size = [], keep
     for d, name in enumerate(mixing.DIMS):
         sums = defaultdict(int)
         for c, n in tokens.items():
             sums[c[d]] += n
         powers = {k: n ** mixing.TEMPER[name] for k, n in sums.items()}
         aims.append({k: p / sum(powers.values()) for k, p in powers.items()})
+        size = min([size, *[n / total / aims[d][k] for k, n in sums.items()]])
+    x = {c: n * size for c, n in tokens.items()}
     for _ in range(rounds):
         for d, aim in enumerate(aims):
-            sums = defaultdict(float)
-            for c, x in w.items():
-                sums[c[d]] += x
-            w = {c: x * aim[c[d]] / sums[c[d]] for c, x in w.items()}
-    factor = {c: w[c] * total / tokens[c] for c in w}
-    scale = min(keep, 1 / max(factor.values(), default=1))  # no probability is cut at 1
-    chance = {c: min(1, x * scale) for c, x in factor.items()}
+            new = {}
+            for k, share in aim.items():
+                own, wanted = [c for c in x if c[d] == k], total * size * share
+                there, fixed, free = sum(x[c] for c in own), sum(tokens[c] for c in own if x[c] >= tokens[c]), sum(x[c] for c in own if x[c] < tokens[c])
+                for c in own:
+                    new[c] = x[c] * wanted / there if wanted <= there else tokens[c] if x[c] >= tokens[c] else min(tokens[c], x[c] * (wanted - fixed) / free)
+            x = new
+    chance = {c: x[c] / tokens[c] for c in x}
     return {i for i in cell if int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16) / 2**52 < chance[cell[i]]}
 
 
