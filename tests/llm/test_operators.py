@@ -182,18 +182,6 @@ def test_empty_tables(docs, run):
     assert run(docs.limit(0)).isEmpty()
 
 
-def test_bit_sums_equal_unpacked_bits():
-    from recordmill.llm.line_dedup import bit_sums
-
-    rng = np.random.default_rng(3)
-    sizes = np.array([1, 2, 254, 255, 256, 509, 510, 511, 1300])
-    starts = np.cumsum(sizes) - sizes
-    h = rng.integers(0, 1 << 63, sizes.sum(), dtype=np.uint64) * np.uint64(2)
-    h[starts[5] : starts[6]] = np.uint64((1 << 64) - 1)
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
-    assert (bit_sums(h, starts, sizes) == [bits[a : a + n].sum(axis=0) for a, n in zip(starts, sizes, strict=True)]).all()
-
-
 def edited_lines():
     """Lines, each after its original: a word replaced, a tenth of the words replaced, a twentieth of the characters replaced."""
     draw, rows = random.Random(4), []
@@ -233,6 +221,24 @@ def test_lines_with_changed_words_are_found(spark):
         assert sum(of) >= 0.93 * len(of), (kind, sum(of), len(of))
 
 
+def test_short_lines_with_spread_edits_are_found(spark):
+    """Edits of single characters anywhere in lines of 10 to 60: none is missed where the exact join is asked for."""
+    draw, pairs = random.Random(12), []
+    for _ in range(120):
+        line = [draw.choice("abcdefghij   ") for _ in range(draw.randint(10, 60))]
+        line[0] = line[-1] = "x"
+        other = list(line)
+        for _ in range(draw.randint(1, max(1, len(line) // 6))):
+            at = draw.randrange(1, len(other))
+            other[at : at + draw.randint(0, 1)] = [draw.choice("klmno")]
+        pairs.append(("".join(line), "".join(other)))
+    norm = [(line_dedup.normalise(a), line_dedup.normalise(b)) for a, b in pairs]
+    close = {n for n, (a, b) in enumerate(norm) if 5 * distance(a, b) <= max(len(a), len(b))}
+    docs = spark.createDataFrame([(2 * n + i, x) for n, ab in enumerate(pairs) for i, x in enumerate(ab)], "doc_id long, text string")
+    gone = {r["at"] for r in line_dedup.repeated_lines(docs, 1, exact_chars=80).collect()}
+    assert gone == {2 * n + 1 for n in close} and len(close) > 80
+
+
 def test_repeated_lines_without_spaces_go(spark):
     docs = spark.createDataFrame([(1, "本サイトの著作権は当社に帰属します\nสงวนลิขสิทธิ์ตามกฎหมาย"), (2, "own words of a row\n本サイトの著作権は当社に帰属します\nสงวนลิขสิทธิ์ตามกฎหมาย")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs).collect()}[2] == "own words of a row"
