@@ -85,12 +85,18 @@ def discard(*tables: DataFrame) -> None:
             _remove(t.sparkSession, t.staged_at)
 
 
-def clean(spark: SparkSession) -> int:
-    """Remove every table that this driver has staged, once the results that read them are written; says how many."""
-    count = len(_STAGED)
-    for path in list(_STAGED):
+def known() -> frozenset[str]:
+    """The paths of the tables that this driver has staged and not removed."""
+    return frozenset(_STAGED)
+
+
+def clean(spark: SparkSession, but: frozenset[str] = frozenset()) -> int:
+    """Remove every table that this driver has staged, other than those of ``but``, once the results that read them are
+    written; says how many."""
+    gone = [path for path in _STAGED if path not in but]
+    for path in gone:
         _remove(spark, path)
-    return count
+    return len(gone)
 
 
 def fold(column: str, modulus: int):
