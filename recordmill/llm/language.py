@@ -1,7 +1,7 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 Trained in numpy by backpropagation through time on a bounded sample: ``per_language`` texts of each language, the
-first by a hash of their ids, and ``sample_chars`` characters of each. Every language that a learnable row has is learned. Whole texts are cut into windows of ``WINDOW`` bytes; each position of each window gets
+first by a hash of their ids, and ``sample_chars`` characters of each. Every language of a learnable row is learned, up to ``max_languages``. Whole texts are cut into windows of ``WINDOW`` bytes; each position of each window gets
 label log-probabilities from the forward and the backward state, and a document's are their means over all its
 positions, so texts of any length are read in full and in bounded memory.
 
@@ -191,17 +191,21 @@ def fit(samples: dict[str, list[bytes]], steps: int = 240, batch: int = 256, rat
     return Model(langs, p)
 
 
-def train(docs: DataFrame, held_out: int = 2, per_language: int = 300, sample_chars: int = 2048) -> Model:
+def train(docs: DataFrame, held_out: int = 2, per_language: int = 300, sample_chars: int = 2048, max_languages: int = 200) -> Model:
     """Fit on rows with text and language whose crc32 fold (of 4) isn't ``held_out``.
 
     The fit alone reads a bounded sample: of each language the first ``per_language`` texts by a hash of their ids, and
-    of each text ``sample_chars`` characters from a place that the same hash chooses.
+    of each text ``sample_chars`` characters from a place that the same hash chooses. Of more than ``max_languages``
+    languages those with most texts are learned, ties by name, so that what the driver holds and the network's outputs
+    are bounded whatever the column holds.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 4) != held_out)).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # the rank limit is met in each task before the shuffle
+    learned = rows.where("text <> ''").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
+    rows = rows.join(F.broadcast(learned), "lang")  # at most max_languages rows
     ids = rows.where("text <> ''").select("doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("doc_id", "lang").distinct()
     start = 1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - sample_chars)).cast("int")
-    some = rows.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(F.substring("text", start, F.lit(sample_chars))).alias("t"))  # at most per_language ids of each language
+    some = rows.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(F.substring("text", start, F.lit(sample_chars))).alias("t"))  # at most per_language ids of each of max_languages languages
     samples: dict[str, list[bytes]] = {}
     for r in some.orderBy("lang", "doc_id").collect():
         samples.setdefault(r["lang"], []).append((r["t"] or "").encode("utf-8", "replace"))
