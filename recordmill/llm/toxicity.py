@@ -65,6 +65,22 @@ def choose(in_positive: dict[str, int], in_unlabelled: dict[str, int], n_positiv
     return sorted(scored, key=lambda w: (-scored[w], w))[:most]
 
 
+def risk(theta: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """R_u(-) - prior * R_p(-), and the gradients of prior * R_p(+) and of that difference, under the logistic loss."""
+    sp, su = 1 / (1 + np.exp(-(xp @ theta))), 1 / (1 + np.exp(-(xu @ theta)))
+    # Calling a text clean costs -log(1 - s), with slope s; calling it toxic has slope s - 1.
+    negative = xu.T @ su / len(xu) - prior * (xp.T @ sp) / len(xp)
+    positive = prior * (xp.T @ (sp - 1)) / len(xp)
+    cost = prior * np.log1p(-np.minimum(sp, 1 - 1e-6)).mean() - np.log1p(-np.minimum(su, 1 - 1e-6)).mean()
+    return cost, positive, negative
+
+
+def direction(theta: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> np.ndarray:
+    """The gradient that a step goes against; reversed, for the corrected part alone, where that part is negative."""
+    cost, positive, negative = risk(theta, xp, xu, prior)
+    return positive + negative if cost >= 0 else -negative
+
+
 def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, chosen: list[str], steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Rows are lists of the features that each text has, all of them among ``chosen``."""
     if not positive or not unlabelled or not 0 < prior < 1:
@@ -83,12 +99,7 @@ def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, ch
     theta[-1] = math.log(prior / (1 - prior))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
-        sp, su = 1 / (1 + np.exp(-(xp @ theta))), 1 / (1 + np.exp(-(xu @ theta)))
-        # Logistic loss: calling a text clean costs -log(1 - s), with slope s; calling it toxic has slope s - 1.
-        g_negative = xu.T @ su / len(xu) - prior * (xp.T @ sp) / len(xp)
-        g_positive = prior * (xp.T @ (sp - 1)) / len(xp)
-        cost = prior * np.log1p(-np.minimum(sp, 1 - 1e-6)).mean() - np.log1p(-np.minimum(su, 1 - 1e-6)).mean()
-        g = g_positive + g_negative if cost >= 0 else -g_negative
+        g = direction(theta, xp, xu, prior)
         g[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
