@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables: nulls, empty and long texts, ties, repeats, extra columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -140,22 +141,106 @@ def test_token_counts_equal_plain_dynamic_programming():
     assert token_counts.count_words(["▁" + w for w in words], scores, 3, -12.0) == {"▁" + w: plain("▁" + w) for w in words}
 
 
-def test_gradients_and_languages():
+def plain_network(p, text):
+    """Log-probabilities of each position by the textbook form of the gated unit, one number at a time."""
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    hidden = p["uf"].shape[1]
+
+    def states(w, u, order):
+        h, out = [0.0] * hidden, {}
+        for t in order:
+            uh = [sum(u[k][j] * h[j] for j in range(hidden)) for k in range(3 * hidden)]
+            z = [sigmoid(w[k][text[t]] + uh[k]) for k in range(hidden)]
+            r = [sigmoid(w[hidden + k][text[t]] + uh[hidden + k]) for k in range(hidden)]
+            c = [math.tanh(w[2 * hidden + k][text[t]] + r[k] * uh[2 * hidden + k]) for k in range(hidden)]
+            h = out[t] = [z[k] * h[k] + (1 - z[k]) * c[k] for k in range(hidden)]
+        return out
+
+    f, b = states(p["wf"], p["uf"], range(len(text))), states(p["wb"], p["ub"], range(len(text) - 1, -1, -1))
+    out = []
+    for t in range(len(text)):
+        raw = [sum(o[k] * x for k, x in enumerate(f[t] + b[t])) + bias[0] for o, bias in zip(p["out"], p["bias"], strict=True)]
+        total = math.log(sum(math.exp(x) for x in raw))
+        out.append([x - total for x in raw])
+    return np.array(out)
+
+
+def test_network_equals_its_plain_form():
+    rng = np.random.default_rng(5)
+    p = language.init(3, rng, 4)
+    p["bias"] += rng.normal(0, 1, p["bias"].shape).astype(np.float32)
+    steps = rng.integers(0, 256, (9, 6)).astype(np.uint8)
+    got = language.log_probs(p, steps)
+    for i in range(6):
+        assert np.allclose(got[:, :, i], plain_network(p, steps[:, i].tolist()), atol=1e-4)
+    # A text's score pools all its positions, whatever windows hold them; equal texts get equal scores, wherever they stand.
+    model = language.Model(["a", "b", "c"], p)
+    text = "".join(rng.choice(list("abc ")) for _ in range(3 * language.WINDOW + 5))
+    parts = [text[i : i + language.WINDOW].encode() for i in range(0, len(text), language.WINDOW)]
+    padded = [plain_network(p, list(x + b"\0" * (language.WINDOW - len(x))))[: len(x)] for x in parts]
+    mean = np.concatenate(padded).mean(axis=0)
+    share = np.exp(mean) / np.exp(mean).sum()
+    langs, scores = model.predict([text, "aa bb", text, ""])
+    assert langs[0] == langs[2] == "abc"[share.argmax()] and scores[0] == scores[2] and abs(scores[0] - share.max()) < 1e-4
+
+
+def test_all_gradients_of_the_network():
     rng = np.random.default_rng(1)
     p = {k: v.astype(np.float64) for k, v in language.init(2, rng, 3).items()}
     steps, label = rng.integers(97, 100, (5, 4)).astype(np.uint8), np.array([0, 1, 0, 1])
     _, g = language.loss_gradients(p, steps, label)
-    for k, at in (("uf", (2, 1)), ("wb", (7, 98)), ("out", (1, 2))):
-        near = []
-        for d in (1e-2, -1e-2):
-            q = {n: v.copy() for n, v in p.items()}
-            q[k][at] += d
-            near.append(language.loss_gradients(q, steps, label)[0])
-        assert abs((near[0] - near[1]) / 2e-2 - g[k][at]) < 1e-3
+    for k, x in p.items():
+        for at in np.ndindex(*x.shape):
+            if k[0] == "w" and not 96 <= at[1] <= 100:  # other bytes don't occur
+                assert g[k][at] == 0
+                continue
+            near = []
+            for d in (1e-2, -1e-2):
+                q = {n: v.copy() for n, v in p.items()}
+                q[k][at] += d
+                near.append(language.loss_gradients(q, steps, label)[0])
+            assert abs((near[0] - near[1]) / 2e-2 - g[k][at]) < 1e-3, (k, at)
     model = language.fit({"x": [b"abba abab " * 40] * 4, "y": [b"zyzz yzyz " * 40] * 4}, steps=40)
     assert model.predict(["abab abba ab", "zyzy zz", "", "123"])[0] == ["x", "y", "und", "und"]
 
 
+def test_languages_beyond_the_bound_are_not_learned(spark):
+    """Many values of ``lang``: those with most texts are learned, ties by name; all rows get one of them or none."""
+    rows = [(n, f"{'abba' if n % 2 else 'zyzz'} {'ab' if n % 2 else 'zy'} text {n}", "x" if n % 2 else "y") for n in range(40)] + [(100 + n, f"mixed {n} zy ab", f"rare{n:03}") for n in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.train(docs, max_languages=2).langs == ["x", "y"]
+    assert language.train(docs, max_languages=3).langs == ["rare000" if zlib.crc32(b"100") % 4 != 2 else "rare001", "x", "y"]
+
+
+def test_corrected_risk_and_its_gradient():
+    """The estimate and both parts of its gradient against sums over rows and numeric slopes; the reversed step lowers the corrected part."""
+    rng = np.random.default_rng(2)
+    xp, xu = (rng.integers(0, 2, (n, 6)).astype(float) for n in (7, 11))
+    prior = 0.3
+
+    def plain(theta):
+        toxic, clean = (lambda row: math.log1p(math.exp(-row @ theta))), (lambda row: math.log1p(math.exp(row @ theta)))
+        first = prior * sum(map(toxic, xp)) / len(xp)
+        return first, sum(map(clean, xu)) / len(xu) - prior * sum(map(clean, xp)) / len(xp)
+
+    for _ in range(20):
+        theta = rng.normal(0, 1.5, 6)
+        cost, positive, negative = toxicity.risk(theta, xp, xu, prior)
+        assert abs(cost - plain(theta)[1]) < 1e-4
+        for i in range(6):
+            d = np.eye(6)[i] * 1e-5
+            up, down = plain(theta + d), plain(theta - d)
+            assert abs((up[0] - down[0]) / 2e-5 - positive[i]) < 1e-5 and abs((up[1] - down[1]) / 2e-5 - negative[i]) < 1e-5
+        g = toxicity.direction(theta, xp, xu, prior)
+        assert np.allclose(g, positive + negative if cost >= 0 else -negative)
+    # Positives hold all that the unlabelled texts hold: the corrected part can turn negative, and the step then raises it.
+    theta, same = np.array([-2.0, 4.0]), np.array([[1.0, 1.0], [1.0, 0.0]])
+    xp, xu = same[:1].repeat(5, 0), same[1:].repeat(5, 0)
+    cost, _, _ = toxicity.risk(theta, xp, xu, 0.6)
+    after, _, _ = toxicity.risk(theta - 0.05 * toxicity.direction(theta, xp, xu, 0.6), xp, xu, 0.6)
+    assert cost < 0 and after > cost
+
+
 def test_toxicity_learns_and_handles_gaps(spark):
     rows = [(i, f"{prose(20)} {'vilest' if i % 4 == 0 else ''}") for i in range(400)] + [(900, None), (901, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -350,12 +435,32 @@ def test_null_ids_are_documents_of_their_own(spark):
     assert sorted(r["n_removed"] for r in gone) == [0, 300]
 
 
-def test_near_copies_go_whole_in_the_line_stage(spark):
-    lines = [prose(14) for _ in range(8)]
-    copy = "\n".join([*lines[:7], prose(9)])
-    rows = [(1, "\n".join(lines)), (2, copy), (2, copy), (3, "\n".join([lines[0], prose(40), prose(40)]))]
-    left = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert set(left) == {1, 3} and left[1] == "\n".join(lines) and lines[0] not in left[3]
+def test_near_copies_are_left_to_near_dedup(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FAN", 2)
+    lines = [prose(14) for _ in range(12)]
+    text = "\n".join(lines)
+    copies = {10 + i: "\n".join([*lines[:11], prose(4)]) for i in range(5)}  # more than FAN
+    exact, part = {30: text, 31: text}, "\n".join(lines[:5])
+    noisy = "\n".join(" ".join(w[:-1] + "#" if k % 4 == 0 and len(w) > 4 else w for k, w in enumerate(x.split())) for x in lines)
+    rows = [(1, text), *copies.items(), *copies.items(), *exact.items(), (40, part), (41, noisy), (50, "\n".join([lines[0], prose(40), prose(40)])), (None, text)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    staged = line_dedup.drop_repeated_lines(docs).collect()
+    left = {r["doc_id"]: r["text"] for r in staged}
+    assert all(r["n_chars"] == len(r["text"]) for r in staged)
+    # Alike by shingles: whole, repeated rows too. Contained, or alike by letters alone: gone. Others lose their repeated lines.
+    assert left.pop(50).count("\n") == 1 and left == {1: text, **copies, **exact, None: text} and len(staged) == 1 + 10 + 2 + 1 + 1
+    kept = near_dedup.keep_one(line_dedup.drop_repeated_lines(docs)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 50]
+
+
+def test_a_copy_of_what_loses_lines_does_not_stay(spark):
+    """What near-dedup couldn't find must not stay whole: the earlier text keeps too little for that."""
+    shared, own = [prose(14) for _ in range(6)], [prose(14) for _ in range(6)]
+    first, second = "\n".join(shared), "\n".join([*shared, *own])
+    third = "\n".join([*shared, *own[:5], prose(5)])
+    docs = spark.createDataFrame([(1, first), (2, second), (3, third)], "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs).collect()}
+    assert left[1] == first and left[2] == "\n".join(own) and not any(x in left.get(3, "") for x in shared + own[:5])
 
 
 def test_clashing_columns(spark):

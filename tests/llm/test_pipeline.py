@@ -79,13 +79,21 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     docs, labels, items, left = planted()
     for name, rows, schema in (("documents", docs, DOCS), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", items, "item_id long, text string")):
         spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
-    clean = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    clean, ids = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         clean = corpus_pipeline.staged(stage(spark, clean, str(tmp_path)), name)
         assert clean.columns == [c.split()[0] for c in DOCS.split(", ")]
+        ids[name] = {r.doc_id for r in clean.select("doc_id").collect()}
+    # Each stage does its own work: copies stay until near-dedup, leaks until decontamination.
+    assert ids["toxicity"] - ids["line_dedup"] == set()
+    assert ids["line_dedup"] - ids["near_dedup"] == set(range(400, 410))
+    assert ids["near_dedup"] - ids["decontamination"] == set(range(412, 417))
     assert {r.doc_id: r.text for r in clean.collect()} == left
     rows = [(i, t, lang, source, n) for i, _, lang, source, n in docs if i in left for t in [left[i]]]
-    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    before = corpus_pipeline.known()
+    result = corpus_pipeline.run(spark, str(tmp_path))
+    assert corpus_pipeline.known() - before == {result.staged_at}
+    got = {r.doc_id: (r.text, r.n_chars) for r in result.collect()}
     assert got == {i: (left[i], None if left[i] is None else len(left[i])) for i in raked(rows)}
 
 
