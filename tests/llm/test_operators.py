@@ -435,6 +435,14 @@ def test_null_ids_are_documents_of_their_own(spark):
     assert sorted(r["n_removed"] for r in gone) == [0, 300]
 
 
+def test_near_copies_go_whole_in_the_line_stage(spark):
+    lines = [prose(14) for _ in range(8)]
+    copy = "\n".join([*lines[:7], prose(9)])
+    rows = [(1, "\n".join(lines)), (2, copy), (2, copy), (3, "\n".join([lines[0], prose(40), prose(40)]))]
+    left = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(left) == {1, 3} and left[1] == "\n".join(lines) and lines[0] not in left[3]
+
+
 def test_near_copies_are_left_to_near_dedup(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "FAN", 2)
     lines = [prose(14) for _ in range(12)]
@@ -444,12 +452,12 @@ def test_near_copies_are_left_to_near_dedup(spark, monkeypatch):
     noisy = "\n".join(" ".join(w[:-1] + "#" if k % 4 == 0 and len(w) > 4 else w for k, w in enumerate(x.split())) for x in lines)
     rows = [(1, text), *copies.items(), *copies.items(), *exact.items(), (40, part), (41, noisy), (50, "\n".join([lines[0], prose(40), prose(40)])), (None, text)]
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
-    staged = line_dedup.drop_repeated_lines(docs).collect()
+    staged = line_dedup.drop_repeated_lines(docs, shingle=5).collect()
     left = {r["doc_id"]: r["text"] for r in staged}
     assert all(r["n_chars"] == len(r["text"]) for r in staged)
     # Alike by shingles: whole, repeated rows too. Contained, or alike by letters alone: gone. Others lose their repeated lines.
     assert left.pop(50).count("\n") == 1 and left == {1: text, **copies, **exact, None: text} and len(staged) == 1 + 10 + 2 + 1 + 1
-    kept = near_dedup.keep_one(line_dedup.drop_repeated_lines(docs)).collect()
+    kept = near_dedup.keep_one(line_dedup.drop_repeated_lines(docs, shingle=5)).collect()
     assert sorted(r["doc_id"] for r in kept) == [1, 50]
 
 
@@ -459,7 +467,7 @@ def test_a_copy_of_what_loses_lines_does_not_stay(spark):
     first, second = "\n".join(shared), "\n".join([*shared, *own])
     third = "\n".join([*shared, *own[:5], prose(5)])
     docs = spark.createDataFrame([(1, first), (2, second), (3, third)], "doc_id long, text string")
-    left = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs).collect()}
+    left = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs, shingle=5).collect()}
     assert left[1] == first and left[2] == "\n".join(own) and not any(x in left.get(3, "") for x in shared + own[:5])
 
 
