@@ -153,6 +153,18 @@ def owners(rows: DataFrame) -> DataFrame:
     return counts(rows, "owner").select(F.coalesce("owner", F.lit("(unassigned)")).alias("owner"), "total")
 
 
+def headline(rows: DataFrame) -> DataFrame:
+    """One row: how many exceptions are open, and how many there are."""
+    return rows.agg(F.count_if(~F.col("status").isin(*CLOSED)).alias("open"), F.count("*").alias("total"))
+
+
+def top_rules(rows: DataFrame, most: int = 20) -> DataFrame:
+    """The rules with most open exceptions, ties by rule."""
+    open_ = rows.where(~F.col("status").isin(*CLOSED))
+    top = open_.groupBy("rule", "rule_name", "area").agg(F.count("*").alias("open_count"), F.max("occurrences").alias("worst_recurrence"), F.max("last_seen").alias("last_seen"))
+    return top.orderBy(F.desc("open_count"), "rule").limit(most)
+
+
 def panels(rules: DataFrame, ledger: DataFrame, runs: DataFrame, findings: DataFrame, today: Column, run: int | None = None) -> dict[str, DataFrame]:
     """The nine panels, of the standing ledger or, with ``run``, of what that run found; rules, recent runs and ageing are the same for both.
 
@@ -161,8 +173,7 @@ def panels(rules: DataFrame, ledger: DataFrame, runs: DataFrame, findings: DataF
     open_ = ledger.where(~F.col("status").isin(*CLOSED))
     shared = {"rules": counts(rules, "status"), "recent_runs": runs.orderBy(F.desc("started"), F.desc("run")).limit(15), "ageing": ageing(ledger, today)}
     if run is None:
-        top = open_.groupBy("rule", "rule_name", "area").agg(F.count("*").alias("open_count"), F.max("occurrences").alias("worst_recurrence"), F.max("last_seen").alias("last_seen"))
-        return shared | {"status": counts(ledger, "status"), "outcome": counts(open_, "outcome"), "severity": counts(open_, "severity"), "top_rules": top.orderBy(F.desc("open_count"), "rule").limit(20), "owners": owners(open_), "run": runs.limit(0)}
+        return shared | {"status": counts(ledger, "status"), "outcome": counts(open_, "outcome"), "severity": counts(open_, "severity"), "top_rules": top_rules(ledger), "owners": owners(open_), "run": runs.limit(0)}
     found = findings.where(F.col("run") == run)
     known = with_status(found, ledger)
     top = with_run(found, runs).groupBy("rule").agg(F.max("rule_name").alias("rule_name"), F.lit(None).cast("string").alias("area"), F.count("*").alias("open_count"), F.max(F.col("is_new").cast("int")).alias("worst_recurrence"), F.max("recorded").alias("last_seen"))

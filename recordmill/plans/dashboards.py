@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recordmill.operators import estate
+from recordmill.operators import estate, ledger, scan
 from recordmill.operators import exceptions as ex
 from recordmill.operators.survive import Keep, survivors
 
@@ -12,8 +12,8 @@ from .records import SYSTEMS, _read, _systems
 
 
 def _exceptions(s, d):
-    """Orders as exceptions: rule, status, owner, day first seen, occurrences."""
-    return _read(s, d, "orders").selectExpr("o_orderkey id", "o_custkey rule", "case o_orderstatus when 'F' then 'resolved' when 'O' then 'open' else 'investigating' end status", "case when o_orderkey % 5 = 0 then null else o_orderpriority end owner", "cast(o_orderdate as date) first_seen", "o_orderkey % 9 occurrences")
+    """Orders as exceptions: rule without name and area, status, owner, day seen, occurrences."""
+    return _read(s, d, "orders").selectExpr("o_orderkey id", "o_custkey rule", "case o_orderstatus when 'F' then 'resolved' when 'O' then 'open' else 'investigating' end status", "case when o_orderkey % 5 = 0 then null else o_orderpriority end owner", "cast(o_orderdate as date) first_seen", "cast(o_orderdate as date) last_seen", "o_orderkey % 9 occurrences", "cast(null as string) rule_name", "cast(null as string) area")
 
 
 def _open(s, d):
@@ -21,9 +21,7 @@ def _open(s, d):
 
 
 def top_rules(s, d):
-    """The twenty rules with most open exceptions."""
-    counts = _open(s, d).groupBy("rule").agg(F.count("*").alias("open_count"), F.max("occurrences").alias("worst_recurrence"), F.max("first_seen").cast("string").alias("last_seen"))
-    return counts.orderBy(F.desc("open_count"), "rule").limit(20)
+    return ledger.top_rules(_exceptions(s, d)).select("rule", "open_count", "worst_recurrence", F.col("last_seen").cast("string").alias("last_seen"))
 
 
 def recent_runs(s, d):
@@ -44,8 +42,12 @@ def folders(s, d):
 
 
 def settings(s, d):
-    p = _read(s, d, "part").selectExpr("split(p_type, ' ')[0] grp", "p_partkey % 3 = 0 enabled", "p_partkey % 4 = 0 delegated", "p_partkey % 10 scoped")
-    return p.groupBy("grp").agg(F.count("*").alias("total"), F.count_if("enabled").alias("enabled"), F.count_if(~F.col("enabled")).alias("disabled"), F.count_if("delegated").alias("delegated"), F.count_if(F.col("scoped") > 4).alias("group_scoped"))
+    """Parts as settings, their type's first word as the run."""
+    groups = f"cast(null as {scan.GROUPS})"
+    named = "array(named_struct('graphId', cast(p_partkey as string), 'name', p_name))"
+    p = _read(s, d, "part").selectExpr("split(p_type, ' ')[0] run", "p_partkey % 3 = 0 enabled", "p_partkey % 4 = 0 delegateToWorkspace", "cast(null as boolean) delegateToCapacity", "false delegateToDomain", f"case when p_partkey % 10 > 4 then {named} end enabledSecurityGroups", f"{groups} excludedSecurityGroups")
+    names = {"run": "grp", "settings": "total", "settings_enabled": "enabled", "settings_disabled": "disabled", "settings_delegated": "delegated", "settings_group_scoped": "group_scoped"}
+    return scan.settings_summary(p).withColumnsRenamed(names)
 
 
 def strategies(s, d):
@@ -58,11 +60,11 @@ def strategies(s, d):
 EXC = "with x as (select o_orderkey id, o_custkey rule, case o_orderstatus when 'F' then 'resolved' when 'O' then 'open' else 'investigating' end status, case when o_orderkey % 5 <> 0 then o_orderpriority end as owner, o_orderdate::date first_seen, o_orderkey % 9 occurrences from orders), o as (select * from x where status <> 'resolved') "
 
 PLANS = {
-    "dashboard_status": (lambda s, d: _exceptions(s, d).groupBy("status").agg(F.count("*").alias("total")), EXC + "select status, count(*) total from x group by 1"),
-    "dashboard_owners": (lambda s, d: _open(s, d).groupBy("owner").agg(F.count("*").alias("total")).select(F.coalesce("owner", F.lit("(unassigned)")).alias("owner"), "total"), EXC + "select coalesce(owner, '(unassigned)') as owner, count(*) total from o group by o.owner"),
+    "dashboard_status": (lambda s, d: ledger.counts(_exceptions(s, d), "status"), EXC + "select status, count(*) total from x group by 1"),
+    "dashboard_owners": (lambda s, d: ledger.owners(_open(s, d)), EXC + "select coalesce(owner, '(unassigned)') as owner, count(*) total from o group by o.owner"),
     "dashboard_top_rules": (top_rules, EXC + "select rule, count(*) open_count, max(occurrences) worst_recurrence, max(first_seen)::varchar last_seen from o group by 1 order by 2 desc, 1 limit 20"),
     "recent_runs": (recent_runs, EXC + "select id, first_seen::varchar started from x order by first_seen desc, id limit 15"),
-    "open_headline": (lambda s, d: _exceptions(s, d).agg(F.count_if(~F.col("status").isin(*ex.CLOSED)).alias("open"), F.count("*").alias("total")), EXC + "select count(*) filter (status <> 'resolved') as open, count(*) total from x"),
+    "open_headline": (lambda s, d: ledger.headline(_exceptions(s, d)), EXC + "select count(*) filter (status <> 'resolved') as open, count(*) total from x"),
     "mdm_overview": (overview, "select l_partkey % 50 model, count(*) runs, max(l_orderkey) golden, max(l_suppkey) duplicates from lineitem group by 1"),
     "folder_rollup": (folders, "with f as (select list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: x <> '') p, length(html) size from pages), g as (select p[1] area, array_to_string(p[1:2], '/') folder, count(*) files, sum(size) size from f group by all) select area, count(*) folders, sum(files)::bigint files, sum(size)::bigint size, max(size)::bigint largest from g group by 1"),
     "settings_summary": (settings, "select string_split(p_type, ' ')[1] grp, count(*) total, count(*) filter (p_partkey % 3 = 0) enabled, count(*) filter (p_partkey % 3 <> 0) disabled, count(*) filter (p_partkey % 4 = 0) delegated, count(*) filter (p_partkey % 10 > 4) group_scoped from part group by 1"),

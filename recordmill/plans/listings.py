@@ -53,9 +53,10 @@ def owners(s, d):
 
 
 def listing(s, d):
-    """A top list of 500, as the listing is bounded by definition."""
-    order = F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
-    return _read(s, d, "orders").orderBy(order, F.desc("o_orderdate"), "o_orderkey").limit(500).select("o_orderkey", "o_orderstatus")
+    """Orders as exceptions: the page of 500 that a filter without conditions shows, most severe and newest first."""
+    severity = F.when(F.col("o_orderstatus") == "P", "high").when(F.col("o_orderstatus") == "O", "medium").otherwise("low")
+    rows = _read(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), severity.alias("severity"), F.col("o_orderdate").alias("last_seen"))
+    return ledger.listing(rows, ledger.Filter(), 500).select(F.col("id").alias("o_orderkey"), F.col("status").alias("o_orderstatus"))
 
 
 def orphans(s, d):
