@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import staged
+
 # Fixed patterns of the base kinds: pattern, minimum length, group that the minimum is asked of.
 BASE = {
     "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2),
@@ -53,6 +55,7 @@ def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
     found = own.select("doc_id", F.flatten(F.array(*[_pieces(F.col("t"), k) for k in KINDS])).alias("parts")).withColumn("row", F.monotonically_increasing_id())
+    found = staged(found, "secret-parts")  # a task that runs again must not number its rows anew
     flat = found.select("doc_id", "row", F.posexplode_outer("parts").alias("i", "x")).repartition("row")
     # The matches of a kind lie side by side in the array, in the text's order.
     before = W.partitionBy("row", "x.k").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
