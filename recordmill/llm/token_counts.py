@@ -2,8 +2,8 @@
 
 The forward score of a prefix (best total score, then fewest tokens) depends on that prefix alone. Distinct pre-tokens
 are inserted in a trie, a prefix is scored when its node is made, and the token count at a terminal node is the
-pre-token's. A task keeps its trie from batch to batch and starts a new one beyond ``MOST_NODES`` nodes, which bounds
-its memory.
+pre-token's. A task keeps its trie from batch to batch and starts a new one beyond ``MOST_NODES`` nodes, and
+what follows the first ``DEPTH`` characters of a pre-token is scored without nodes, so both bound its memory.
 
 Nothing is trained. The public vocabulary file lists its pieces by merge rank and has no probabilities, so a piece of
 rank r gets the unigram log-probability -log(r) - log(H), by Zipf's law, H being the sum of 1/r over the vocabulary; they
@@ -15,6 +15,7 @@ equal counts; ids pass through, nulls too; other columns are ignored; an empty t
 """
 
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 UNKNOWN = 10.0
 MOST_NODES = 1_000_000
+#: Characters of a word that get nodes; what follows them is scored from the last prefixes alone, in constant memory.
+DEPTH = 1000
 
 
 def default_vocabulary() -> str:
@@ -51,9 +54,9 @@ class Trie:
         self.best, self.count = [0.0], [0]
 
     def insert(self, word: str) -> int:
-        """The token count of ``word``; only prefixes that no earlier word has are scored."""
+        """The token count of ``word``; of its first ``DEPTH`` prefixes only those that no earlier word has are scored."""
         path, get = [0], self.scores.get
-        for end, letter in enumerate(word, 1):
+        for end, letter in enumerate(word[:DEPTH], 1):
             node = self.children[path[-1]].get(letter)
             if node is None:
                 n = len(letter.encode("utf-8", "surrogatepass"))
@@ -69,7 +72,20 @@ class Trie:
                 self.best.append(top)
                 self.count.append(fewest)
             path.append(node)
-        return self.count[path[-1]]
+        return self.count[path[-1]] if len(word) <= DEPTH else self._beyond(word, path)
+
+    def _beyond(self, word: str, path: list[int]) -> int:
+        """The token count of a word that goes on after the nodes of ``path``."""
+        get, last = self.scores.get, deque([(self.best[n], self.count[n]) for n in path], self.longest or 1)
+        for end in range(len(path), len(word) + 1):
+            n = len(word[end - 1].encode("utf-8", "surrogatepass"))
+            top, fewest = last[-1][0] + self.unknown * n, last[-1][1] + n
+            for back, (value, k) in enumerate(reversed(last), 1):
+                s = get(word[end - back : end])
+                if s is not None and (value + s > top or (value + s == top and k + 1 < fewest)):
+                    top, fewest = value + s, k + 1
+            last.append((top, fewest))
+        return last[-1][1]
 
 
 def count_words(words: list[str], scores: dict[str, float], longest: int, unknown: float) -> dict[str, int]:
@@ -98,6 +114,8 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str | None = None,
                         known[w] = trie.insert(SPACE + w)
             get = known.__getitem__
             yield pd.DataFrame({"n_pretokens": [len(w) for w in split], "n_tokens": [sum(map(get, w)) for w in split]})
+            for w in [w for w in known if len(w) > DEPTH]:  # few nodes stand for them, so they aren't kept
+                del known[w]
 
     own = docs.select(F.col(id_col), run(F.col(text_col).cast("string")).alias("r"))
     return own.select(id_col, "r.*")
