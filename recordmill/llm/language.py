@@ -6,7 +6,8 @@ label log-probabilities from the forward and the backward state, and a document'
 positions, so texts of any length are read in full and in bounded memory.
 
 Null text and text without a letter give ``und`` with score 0, and so does every text if nothing can be learned. One
-learned language gives that language. Repeated rows get equal results; other columns are ignored.
+learned language gives that language. Repeated rows get one language, and scores equal to six digits, as products in
+single precision depend on the batch; other columns are ignored.
 """
 
 from collections.abc import Iterator
