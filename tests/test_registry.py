@@ -113,3 +113,14 @@ def test_pages_are_followed_and_tried_again(spark, tmp_path):
     with pytest.raises(landing.HttpError):
         landing.retried(lambda: (_ for _ in ()).throw(landing.HttpError(404)), lambda *a: told.append(a[0]), slept.append)
     assert told[-1] == "failure" and len(slept) == 2
+
+
+def test_runs_are_never_broadcast(spark, tmp_path):
+    """A table of runs that is small on disk is unfolded by metric only after the runs of a pair have met."""
+    spark.range(1, 7).selectExpr("id run", "id % 2 rule", "'completed' status", "id started", "id * 10 records_a", "id records_b", "id keys_compared", "nullif(id, 6) matched", "7 - id exception_count").write.parquet(f"{tmp_path}/runs")
+    runs = spark.read.parquet(f"{tmp_path}/runs")
+    found = compare.metric_deltas(compare.latest_pairs(runs), runs)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = {(r["later"], r["metric"]): r for r in found.collect()}
+    assert len(rows) == 2 * len(compare.METRICS) and (rows[5, "records_a"]["delta"], rows[5, "records_a"]["percent"]) == (20.0, 66.7)
+    assert (rows[6, "matched"]["direction"], rows[6, "exception_count"]["direction"]) == ("unchanged", "improved")
