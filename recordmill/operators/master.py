@@ -116,16 +116,18 @@ def _least_pairs(entries: DataFrame, most: int, chunk: int) -> DataFrame:
     return sequenced(pairs, [F.col("l"), F.col("r")], "place").where(F.col("place") <= most).select("l", "r")
 
 
-def candidates(blocked: DataFrame, most: int = 500_000, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+def candidates(blocked: DataFrame, most: int = 500_000, chunk: int = CHUNK, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """The least ``most`` pairs (l, r), and one row: candidate_pairs, truncated, blocks_examined, largest_block.
 
+    With ``whole`` all pairs, of which ``truncated`` then only says that there are ``most`` or more.
+
     As in the specification, ``truncated`` also holds if there are just as many pairs as allowed. The blocks' sizes say
     before any pair is made whether the cap can be reached; if so, the pairs that it leaves out are never made.
     """
     most = max(1, most)
     entries = cut(keyed(blocked))
     known = block_stats(entries)
-    few = block_cost(entries).head()[0] < most
+    few = whole or block_cost(entries).head()[0] < most
     kept = cut(_all_pairs(entries, chunk) if few else _least_pairs(entries, most, chunk))
     found = kept.agg(F.count("*").alias("candidate_pairs")).withColumn("truncated", F.col("candidate_pairs") >= most)
     return kept, found.crossJoin(F.broadcast(known.select(F.col("blocks").alias("blocks_examined"), "largest_block")))  # one row each

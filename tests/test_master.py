@@ -1,5 +1,6 @@
 """Candidate pairs: blocks of tiles, caps that end the work early, pairs that meet in many blocks."""
 
+import dataclasses
 import itertools
 import random
 import time
@@ -7,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from recordmill.operators import master
+from recordmill.operators import build, master
 
 
 def by_hand(rows):
@@ -60,3 +61,14 @@ def test_a_block_of_a_million_under_a_cap(spark):
     kept, told = master.candidates(blocked, 500_000)
     assert kept.agg(F.count("*"), F.min("l"), F.max("l"), F.min("r"), F.max("r")).head()[:] == (500_000, 0, 0, 1, 500_000)
     assert told.head()["truncated"] and time.time() - began < 120
+
+
+def test_a_model_compares_the_pairs_beyond_its_cap(spark):
+    """Three records in each of four blocks, a cap of five pairs: all twelve are compared and merged, unless the model is capped."""
+    rows = spark.range(12).selectExpr("id", "concat('name ', id div 3) name")
+    fields = (build.Field("name", "name"),)
+    model = build.Model(fields, "id", blocks=(build.Block("name"),), most_pairs=5)
+    stats = build.build_master(rows, model).stats.head()
+    assert (stats["pairs_compared"], stats["candidate_pairs"], stats["golden_records"], stats["pairs_truncated"]) == (12, 12, 4, True)
+    stats = build.build_master(rows, dataclasses.replace(model, capped=True)).stats.head()
+    assert (stats["pairs_compared"], stats["pairs_truncated"]) == (5, True)
