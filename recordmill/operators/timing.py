@@ -101,25 +101,41 @@ def last_executions(executions: DataFrame) -> DataFrame:
     return executions.groupBy("id").agg(*[F.max(F.when(F.col("status") == s, F.col("executed_at"))).alias(n) for s, n in (("success", "succeeded_at"), ("skipped", "skipped_at"))])
 
 
-def is_due(local: Column) -> Column:
-    """Whether a schedule (kind, hour, minute, day) is due in the minute ``local``, a wall-clock timestamp."""
-    weekday = F.dayofweek(local)  # Sunday is 1
-    on_day = (F.col("kind") == "daily") | ((F.col("kind") == "weekdays") & weekday.between(2, 6)) | ((F.col("kind") == "weekly") & (F.element_at(F.array(*map(F.lit, DAYS)), weekday) == F.col("day")))
-    return (F.minute(local) == F.col("minute")) & ((F.col("kind") == "hourly") | ((F.hour(local) == F.col("hour")) & on_day))
+def due_clock(zones: DataFrame, now: Column, window: int) -> DataFrame:
+    """(zone, kind, minute, hour, day, due_at, slot): when a schedule of these values is due last in the ``window`` minutes up to ``now``.
+
+    ``hour`` is -1 for hourly ones, and ``day`` is empty unless weekly. A zone has under ``window`` * 4 rows.
+    """
+    last = F.date_trunc("minute", now)
+    at = F.timestamp_seconds(F.unix_timestamp(last) - F.col("back") * 60)
+    times = zones.select("zone", F.explode(F.sequence(F.lit(0), F.lit(window))).alias("back")).select("zone", at.alias("due_at")).withColumn("local", F.from_utc_timestamp("due_at", F.col("zone")))
+    weekday, hour = F.dayofweek("local"), F.hour("local")  # Sunday is 1
+    kind = lambda name, h, day="": F.struct(F.lit(name).alias("kind"), h.alias("hour"), (F.lit(day) if isinstance(day, str) else day).alias("day"))
+    of_kind = F.array(
+        kind("hourly", F.lit(-1)),
+        kind("daily", hour),
+        F.when(weekday.between(2, 6), kind("weekdays", hour)),
+        kind("weekly", hour, F.element_at(F.array(*map(F.lit, DAYS)), weekday)),
+    )
+    slot = F.date_format("local", "yyyy-MM-dd'T'HH:mm")
+    each = times.select("zone", "due_at", slot.alias("slot"), F.minute("local").alias("minute"), F.explode(of_kind).alias("x")).where("x is not null").select("zone", "due_at", "slot", "minute", "x.*")
+    return each.groupBy("zone", "kind", "minute", "hour", "day").agg(F.max_by(F.struct("due_at", "slot"), "due_at").alias("x")).select("zone", "kind", "minute", "hour", "day", "x.*")
 
 
 def due_slots(schedules: DataFrame, now: Column, window: int = 240) -> DataFrame:
     """``schedules`` (id, kind, hour, minute, day, zone) due in the last ``window`` minutes: slot, due_at and minutes_late.
 
-    Each minute is judged in the schedule's own zone, so changes of its clock are met. No shuffle: the minutes are an
-    array in the row.
+    Each minute is judged once in each zone, so changes of its clock are met, and schedules look themselves up. The
+    zones are at most those that Spark knows, whatever the schedules, so the lookup is broadcast. ``now`` is the same
+    for all rows.
     """
-    last = F.date_trunc("minute", now)
-    minutes = F.transform(F.sequence(F.lit(0), F.lit(window)), lambda m: F.timestamp_seconds(F.unix_timestamp(last) - m * 60))
-    due = F.filter(minutes, lambda t: is_due(F.from_utc_timestamp(t, F.col("__zone"))))
-    rows = schedules.withColumn("__zone", usable(zone(F.col("zone")))).select("id", "__zone", F.get(due, F.lit(0)).alias("due_at")).where("due_at is not null")
-    slot = F.date_format(F.from_utc_timestamp("due_at", F.col("__zone")), "yyyy-MM-dd'T'HH:mm")
-    return rows.select("id", slot.alias("slot"), "due_at", ((F.unix_timestamp(last) - F.unix_timestamp("due_at")) / 60).cast("long").alias("minutes_late"))
+    key = {"zone": usable(zone(F.col("zone"))), "kind": F.col("kind"), "minute": F.col("minute")}
+    key["hour"] = F.when(F.col("kind") == "hourly", F.lit(-1)).otherwise(F.col("hour"))
+    key["day"] = F.when(F.col("kind") == "weekly", F.col("day")).otherwise("")
+    asked = schedules.select("id", *[c.alias(n) for n, c in key.items()])
+    clock = due_clock(schedules.select(key["zone"].alias("zone")).distinct(), now, window)
+    late = (F.unix_timestamp(F.date_trunc("minute", now)) - F.unix_timestamp("due_at")) / 60
+    return asked.join(F.broadcast(clock), list(key)).select("id", "slot", "due_at", late.cast("long").alias("minutes_late"))
 
 
 def pending_slots(slots: DataFrame, executions: DataFrame) -> DataFrame:
