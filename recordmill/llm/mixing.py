@@ -82,8 +82,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
     """
     total = cells.agg(F.sum("tokens").alias("total"))
     now = staged(cells.crossJoin(F.broadcast(total)), "mix-cells")  # total is one row
-    for d in DIMS:
-        now = now.join(aims(now, d, (targets or {}).get(d), (temper or TEMPER)[d]), d)
+    cells = now
+    for d in DIMS:  # from the cells themselves: the joined ones would nest each dimension's plan in the next
+        now = now.join(aims(cells, d, (targets or {}).get(d), (temper or TEMPER)[d]), d)
     now = staged(now, "mix-aims")
     # A group holds cells, as many as the other dimensions have combinations, never documents.
     holds = [F.when(F.col(f"aim_{d}") > 0, F.sum("tokens").over(W.partitionBy(d)) / F.col("total") / F.expr(f"nullif(aim_{d}, 0)")) for d in DIMS]

@@ -615,3 +615,18 @@ def test_repeated_rows_share_their_fate(spark):
     for run, cols in ((mixing.mix_digest, 5), (lambda d: token_counts.token_counts(spark, d), 3), (language.identify_language, 4)):
         got = run(rows).collect()
         assert len(got) == 90 and len({tuple(r) for r in got}) == 30 and len(got[0]) == cols
+
+
+def test_aims_of_a_mix_do_not_nest(spark, monkeypatch):
+    """Each dimension's aims come from the cells, so the plan grows with the dimensions, not as a power of them."""
+    plans, real = {}, mixing.staged
+
+    def seen(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(mixing, "staged", seen)
+    docs = spark.createDataFrame([(i, prose(30), "de" if i % 5 == 0 else "en", "rare" if i % 20 == 0 else "hot") for i in range(60)], "doc_id long, text string, lang string, source string")
+    mixing.mixed(docs)
+    print("aggregates", plans["mix-aims"].count("Aggregate"))
+    assert plans["mix-aims"].count("Aggregate") < 40
