@@ -7,6 +7,7 @@ import re
 import zlib
 from functools import cache
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -324,6 +325,39 @@ def test_short_lines_with_spread_edits_are_found(spark):
     assert gone == {2 * n + 1 for n in close} and len(close) > 80
 
 
+def test_no_link_between_lines_is_missed(spark):
+    """Edits of single characters spread over lines of any length, up to the threshold and just beyond: groups equal brute force."""
+    draw, lines = random.Random(31), ["abcd", "abxcd", "wxyz", "wxy"]
+    for size in (9, 14, 40, 41, 64, 65, 90, 130, 180, 260, 420):
+        for _ in range(2):
+            line = "x" + "".join(draw.choices("abcdefghijklmnopqé   ", k=size - 2)) + "x"
+            lines += [line, "".join("#" if k % 5 == 4 else x for k, x in enumerate(line)), "".join("#" if k % 4 == 3 else x for k, x in enumerate(line)), line[size // 5 :], line[: size - size // 5]]
+            for rate in (0.1, 0.17, 0.2):
+                other = list(line)
+                for _ in range(int(size * rate)):
+                    at = draw.randrange(1, len(other) - 1)
+                    other[at : at + draw.randint(0, 1)] = draw.choice(["", "#", "b"])
+                lines.append("".join(other))
+    norm = [line_dedup.normalise(x) for x in lines]
+    group = list(range(len(lines)))
+    for i, a in enumerate(norm):
+        for j in range(i):
+            most = max(len(a), len(norm[j])) // 5
+            if abs(len(a) - len(norm[j])) <= most and line_dedup.distance(a, norm[j], most) <= most:
+                group = [group[j] if g == group[i] else g for g in group]
+    wanted = {i for i in range(len(lines)) if any(group[j] == group[i] for j in range(i))}
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r["at"] for r in line_dedup.repeated_lines(docs, 1).collect()} == wanted and len(wanted) > 90
+    few = {r["at"] for r in line_dedup.repeated_lines(docs, 1, whole=False).collect()}
+    assert few < wanted
+
+
+def test_the_pipelines_line_stage_misses_no_link(spark):
+    line, own = "".join(random.Random(7).choices("abcdefghijklmnop", k=200)), prose(30)
+    docs = spark.createDataFrame([(1, f"{line}\n{prose(30)}"), (2, f"{own}\n" + "".join("#" if k % 5 == 4 else x for k, x in enumerate(line)))], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs, "").collect()}[2] == own
+
+
 def test_repeated_lines_without_spaces_go(spark):
     docs = spark.createDataFrame([(1, "本サイトの著作権は当社に帰属します\nสงวนลิขสิทธิ์ตามกฎหมาย"), (2, "own words of a row\n本サイトの著作権は当社に帰属します\nสงวนลิขสิทธิ์ตามกฎหมาย")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs).collect()}[2] == "own words of a row"
