@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: All Unicode white space, as a character class.
 SPACE = r"[\s   -     　﻿]"
+#: The same characters, one behind the other.
+SPACES = "".join(filter(re.compile(SPACE, re.ASCII).match, map(chr, range(1 << 16))))
 # Texts that mean "no value".
 NULL_TOKENS = ("", "null", "none", "n/a", "na", "nan", "-", "--", "unknown", "undefined", "?")
 
@@ -26,7 +29,7 @@ ABBREVIATIONS = {
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:

@@ -18,11 +18,16 @@ CLOSED = ("resolved", "accepted")
 SNAPSHOT = "fingerprint string, outcome string, severity string, status string, first_run int, last_run int, occurrence_count int"
 
 
-def firsts(findings: DataFrame, columns: list[str], order: Column | None = None) -> DataFrame:
-    """The first finding of each fingerprint: by ``order``, the findings' column ``position`` or, without either, by outcome and severity."""
+def _led(findings: DataFrame, columns: list[str], order: Column | None = None) -> DataFrame:
+    """``firsts`` with ``__lead``, a number that leads sorts and joins: fingerprints begin alike, which is slow to compare."""
     if order is None:
         order = F.col("position") if "position" in findings.columns else F.struct(*columns)
-    return findings.groupBy("fingerprint").agg(F.min_by(F.struct(*columns), order).alias("x")).select("fingerprint", "x.*")
+    return findings.groupBy(F.xxhash64("fingerprint").alias("__lead"), "fingerprint").agg(F.min_by(F.struct(*columns), order).alias("x")).select("__lead", "fingerprint", "x.*")
+
+
+def firsts(findings: DataFrame, columns: list[str], order: Column | None = None) -> DataFrame:
+    """The first finding of each fingerprint: by ``order``, the findings' column ``position`` or, without either, by outcome and severity."""
+    return _led(findings, columns, order).drop("__lead")
 
 
 def fold(ledger: DataFrame, findings: DataFrame, run: int, order: Column | None = None) -> DataFrame:
@@ -31,10 +36,11 @@ def fold(ledger: DataFrame, findings: DataFrame, run: int, order: Column | None
     Of several findings of one fingerprint the first counts (see ``firsts``). Columns of the ledger beyond those of
     ``SNAPSHOT`` are kept.
     """
-    batch = firsts(findings, ["outcome", "severity"], order).withColumnsRenamed({"outcome": "new_outcome", "severity": "new_severity"})
+    batch = _led(findings, ["outcome", "severity"], order).withColumnsRenamed({"outcome": "new_outcome", "severity": "new_severity"})
     seen = F.col("new_outcome").isNotNull()
     status = F.when(F.col("status").isNull(), "open").when(seen & F.col("status").isin(*CLOSED), "open").otherwise(F.col("status"))
-    return ledger.join(batch, "fingerprint", "full_outer").select(
+    led = ledger.withColumn("__lead", F.xxhash64("fingerprint"))
+    return led.join(batch, ["__lead", "fingerprint"], "full_outer").select(
         "fingerprint",
         F.coalesce("new_outcome", "outcome").alias("outcome"),
         F.coalesce("new_severity", "severity").alias("severity"),
@@ -109,8 +115,8 @@ def change(ledger: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Findings of two runs side by side: introduced, resolved, persisting, or changed where the outcome differs."""
-    first = lambda df, name: firsts(df, ["outcome"]).withColumnRenamed("outcome", name)
-    both = first(before, "before").join(first(after, "after"), "fingerprint", "full_outer")
+    first = lambda df, name: _led(df, ["outcome"]).withColumnRenamed("outcome", name)
+    both = first(before, "before").join(first(after, "after"), ["__lead", "fingerprint"], "full_outer").drop("__lead")
     change = F.when(F.col("before").isNull(), "introduced").when(F.col("after").isNull(), "resolved").when(F.col("before") == F.col("after"), "persisting").otherwise("changed")
     return both.withColumn("change", change)
 
